@@ -14,7 +14,6 @@ The width is that of the PERCENTILE of a block's differences; larger ones are ou
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,8 +29,7 @@ from .common import shared_dir
 BLOCK, PERCENTILE, SHARD = 128, 0.9, 1 << 18
 MAGIC = b"PFOR1\0\0\0"
 END = 0
-CACHE = 300_000
-_SPLIT = re.compile(r" (?=\s|$)|^ ")
+CACHE = 800_000
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -125,36 +123,63 @@ class Encoder:
 
     A single space before a character that isn't white space always begins a piece of byte-level BPE's pre-tokenizer,
     so a text's ids are those of its space-separated chunks; frequent chunks are remembered, CACHE of them at most.
-    Texts with other spacing are encoded as a whole."""
+    New chunks are encoded as one text, whose ids are dealt back by the bytes that each id stands for; where the ends
+    don't fall on chunk ends, and for texts with other spacing, each text is encoded on its own."""
 
     def __init__(self, path: str, by_chunk: bool = True):
         from tokenizers import Tokenizer
 
-        self.library, self.by_chunk, self.known = Tokenizer.from_file(path), by_chunk, {}
+        self.library = Tokenizer.from_file(path)
+        self.by_chunk = by_chunk and type(self.library.pre_tokenizer).__name__ == "ByteLevel"
+        self.known: dict[str, bytes | None] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.bytes_of[k] = len(token)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks, each after a space."""
+        if not chunks:
+            return []
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(c.encode("utf-8", "replace")) + 1 for c in chunks])
+        at = np.cumsum(self.bytes_of[ids])
+        cut = np.searchsorted(at, ends)
+        if not len(at) or at[-1] != ends[-1] or (at[cut] != ends).any():
+            return self._plain([" " + c for c in chunks])
+        raw, stop = ids.tobytes(), ((cut + 1) * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known = {}
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        out: list[bytes | list[str]] = []
-        whole, new = [], set()
+        out: list[bytes] = [b""] * len(texts)
+        alone, split = [], []
+        new: set[str] = set()
         for k, text in enumerate(texts):
-            if not self.by_chunk or _SPLIT.search(text):
-                whole.append(k)
-                out.append(b"")
+            if not self.by_chunk:
+                alone.append((k, text))
                 continue
-            chunks = text.split(" ")
-            chunks[1:] = [" " + c for c in chunks[1:]]
-            new.update(c for c in chunks if c not in known)
-            out.append(chunks)
-        for k, ids in zip(whole, self._plain([texts[k] for k in whole]), strict=True):
+            first, *chunks = text.split(" ")
+            alone.append((k, first))
+            split.append((k, chunks))
+            new.update(chunks)
+        for (k, _), ids in zip(alone, self._plain([t for _, t in alone]), strict=True):
             out[k] = ids
-        missing = list(new)
-        known.update(zip(missing, self._plain(missing), strict=True))
-        return [x if isinstance(x, bytes) else b"".join([known[c] for c in x]) for x in out]
+        missing = [c for c in new if c not in known]
+        known.update(dict.fromkeys(c for c in missing if not c or c[0].isspace()))
+        missing = [c for c in missing if c not in known]
+        known.update(zip(missing, self._spaced(missing), strict=True))
+        for k, chunks in split:
+            try:
+                out[k] += b"".join(map(known.__getitem__, chunks))
+            except TypeError:  # a chunk that begins with white space: None
+                (out[k],) = self._plain([texts[k]])
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
