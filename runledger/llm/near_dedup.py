@@ -4,9 +4,9 @@ Signatures use two permutations of the 32-bit words: the first scatters the shin
 circularly by k to give coordinate k. Both are closed-form bijections, so nothing as large as the universe is stored.
 
 Groups of copies are never expanded into pairs. Documents with equal shingle sets collapse to the smallest doc_id.
-In each band bucket one pivot is compared with every other member; verified links are contracted into components,
-and only what is still undecided in a bucket (members of different components, none of them a former pivot) is
-compared further, until every pair that shares a bucket is linked, rejected, or joined through others.
+In each band bucket one pivot is compared with every other member, and verified links are contracted into components.
+What is then undecided in a bucket (members of different components, the pivot left out) is compared unless a bound on
+the intersection rules the pair out, so every pair that shares a bucket is linked, rejected, or joined through others.
 
 With 28 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability 2e-6, at 0.9 with 6e-10.
 """
@@ -150,19 +150,26 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Of the candidate pairs (a, b) those with 100 * |intersection| >= percent * |union|, on the full sets."""
-    pairs = cut(pairs)
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id and the full set of the documents in ids."""
     wanted = with_ids(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), ids, "doc_id")
-    sets = cut(wanted.mapInArrow(lambda it: _sets(it, width), "doc_id long, shingles array<long>"))
-    left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-    both = pairs.join(left, "a").join(right, "b")
+    return cut(wanted.mapInArrow(lambda it: _sets(it, width), "doc_id long, shingles array<long>"))
+
+
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of the candidate pairs (a, b) those with 100 * |intersection| >= percent * |union|, on the full sets."""
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     # common * 100 >= percent * (|a| + |b| - common), with common written once
     alike = F.size(F.array_intersect("set_a", "set_b")) * (100 + percent) >= percent * (F.size("set_a") + F.size("set_b"))
     return both.where(alike).select("a", "b").distinct()
 
 
+def private_counts(sets: DataFrame) -> DataFrame:
+    """doc_id, private: shingles that no other document of the table has."""
+    each = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
+    return each.where("n = 1").groupBy("rep").agg(F.count("*").alias("private"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of an undirected graph: the least node reachable.
 
@@ -198,25 +205,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, bands: i
     near = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
     size = members.where("rep = pivot").select("key", F.col("n").alias("pivot_n"))
     pairs = members.where("rep != pivot").join(size, "key").where(near(F.col("n"), F.col("pivot_n"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    # Rows of one doc_id with several texts are one document.
-    links = verified(docs, pairs.distinct(), percent, width).union(owned.toDF("a", "b"))
+    pairs = cut(pairs.distinct())
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    links = cut(verified(shingle_table(docs, ids, width), pairs, percent).union(owned.toDF("a", "b")))
     labels = components(links)
-    rest = members.where("rep != pivot").select("key", "rep", "n")
-    for last in (False, True):
-        placed = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        per = cut(placed.groupBy("key", "component").agg(F.count("*").alias("n_in"), F.max("rep").alias("top")))
-        open_keys = cut(per.groupBy("key").agg(F.max_by("component", F.struct("n_in", "component")).alias("major"), F.max("top").alias("pivot"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
-        if not open_keys.take(1):
-            break
-        rest = cut(placed.join(open_keys, "key"))
-        one = rest.where("component != major" if last else "rep = pivot").select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-        pairs = rest.join(one, "key").where((F.col("component") != F.col("other")) & near(F.col("n"), F.col("m")))
-        pairs = pairs.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
-        more = cut(verified(docs, pairs, percent, width))
+    # What is undecided: members of different components in a bucket, its pivot left out.
+    rest = members.where("rep != pivot").select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    rest = cut(rest.withColumn("component", F.coalesce("component", "rep")))
+    per = rest.groupBy("key", "component").agg(F.count("*").alias("n_in"))
+    major = cut(per.groupBy("key").agg(F.max_by("component", F.struct("n_in", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
+    if major.take(1):
+        rest = cut(rest.join(major, "key"))
+        sets = shingle_table(docs, cut(rest.select(F.col("rep").alias("doc_id")).distinct()), width)
+        # Shingles that no other undecided document has bound each intersection, exactly: most members of a large
+        # group that are linked with none of it go here, and are not paired.
+        rest = rest.join(private_counts(sets), "rep", "left").withColumn("most", F.col("n") - F.coalesce("private", F.lit(0)))
+        rest = cut(rest.where(F.col("most") * 100 >= F.col("n") * percent).drop("private"))
+        minor = rest.where("component != major").select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("most").alias("other_most"))
+        enough = F.least("most", "other_most") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+        pairs = rest.join(minor, "key").where((F.col("component") != F.col("other")) & near(F.col("n"), F.col("m")) & enough)
+        more = cut(verified(sets, cut(pairs.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()), percent))
         if more.take(1):
-            links = cut(links.union(more))
-            labels = components(links)
-        rest = rest.where("rep != pivot").select("key", "rep", "n")
+            labels = components(cut(links.union(more)))
     parts = labels.toDF("doc_id", "component_id")
     return sketch.select("doc_id", "n_shingles").join(parts, "doc_id", "left").select(
         "doc_id",
