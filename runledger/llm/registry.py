@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import html_extract, license_scan, line_dedup, warc_audit
 from .common import table
 from .decontaminate import judged
 from .near_dedup import near_duplicates
@@ -19,6 +19,21 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc_audit.index_of(table(spark, sf_dir, "pages"))
+    return warc_audit.audit(index, warc_audit.aged(index))
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select("page_id", html_extract.host().alias("host"), line_dedup.visible_lines().alias("lines"))
+    return line_dedup.digest(line_dedup.without_boilerplate(rows))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,6 +42,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(license_scan.document_paths(table(spark, sf_dir, "documents")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,5 +54,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op5_quality_rules, op6_source_mix, op9_decontamination, op10_token_store)}
-SQL: dict[str, str] = {}
+_ALL = (op1_near_dedup, op2_warc_audit, op3_html_extract, op4_line_dedup, op5_quality_rules, op6_source_mix, op8_license_scan, op9_decontamination, op10_token_store)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = {"op2_warc_audit": warc_audit.SQL, "op4_line_dedup": line_dedup.SQL}
