@@ -12,6 +12,7 @@ from .decontaminate import judged
 from .near_dedup import near_duplicates
 from .quality_rules import quality
 from .source_mix import taken
+from .suffix_dedup import without_repeats
 from .token_store import stored
 
 
@@ -42,6 +43,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(license_scan.document_paths(table(spark, sf_dir, "documents")))
 
@@ -54,6 +59,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_near_dedup, op2_warc_audit, op3_html_extract, op4_line_dedup, op5_quality_rules, op6_source_mix, op8_license_scan, op9_decontamination, op10_token_store)
+_ALL = (op1_near_dedup, op2_warc_audit, op3_html_extract, op4_line_dedup, op5_quality_rules, op6_source_mix, op7_suffix_dedup, op8_license_scan, op9_decontamination, op10_token_store)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {"op2_warc_audit": warc_audit.SQL, "op4_line_dedup": line_dedup.SQL}
