@@ -68,7 +68,7 @@ QUERIES: dict[str, str] = {
     "in_flight": "SELECT task_queue, max(depth) AS peak FROM (SELECT task_queue, CAST(sum(d) OVER (PARTITION BY task_queue ORDER BY at_ns, d, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS depth FROM (SELECT task_queue, started_at AS at_ns, 1 AS d, run_id FROM {executions} UNION ALL SELECT task_queue, closed_at, -1, run_id FROM {executions} WHERE closed_at IS NOT NULL)) GROUP BY task_queue",
     "latency_histogram": f"SELECT operation, le, count_if(latency <= le) AS n FROM {{requests}} CROSS JOIN ({_BOUNDS}) GROUP BY operation, le",
     "latency_p99": f"SELECT operation, round(CASE WHEN n = before THEN le ELSE low + (le - low) * (0.99 * total - before) / (n - before) END, 9) AS p99 FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY le) AS k FROM (SELECT operation, le, n, total, coalesce(lag(le) OVER (PARTITION BY operation ORDER BY le), 0.0) AS low, coalesce(lag(n) OVER (PARTITION BY operation ORDER BY le), 0) AS before FROM (SELECT operation, le, count_if(latency <= le) AS n, count_if(latency <= 60) AS total FROM {{requests}} CROSS JOIN ({_BOUNDS}) GROUP BY operation, le)) WHERE n >= 0.99 * total) WHERE k = 1",
-    "rate_by_op": "SELECT operation, CAST(floor(at_ns / 300000000000) AS BIGINT) AS slot, round(count(*) / 300.0, 9) AS rate FROM {requests} GROUP BY operation, CAST(floor(at_ns / 300000000000) AS BIGINT)",
+    "rate_by_op": "SELECT operation, CAST(floor(at_ns / 300000000000) AS BIGINT) AS slot, round(count(*) / 300e0, 9) AS rate FROM {requests} GROUP BY operation, CAST(floor(at_ns / 300000000000) AS BIGINT)",
     "error_ratio": "SELECT caller, round(count_if(code <> 'ok') / greatest(CAST(count(*) AS DOUBLE), 0.001), 9) AS ratio FROM {requests} GROUP BY caller",
     "retry_amplification": "SELECT task_queue, round(CAST(sum(attempt) AS DOUBLE) / greatest(CAST(count_if(outcome <> 'PENDING') AS DOUBLE), 0.001), 9) AS ratio FROM {activities} GROUP BY task_queue",
     "sync_match_ratio": "SELECT task_queue, round(count_if(started_at = scheduled_at) / CAST(count(*) AS DOUBLE), 9) AS ratio FROM {activities} GROUP BY task_queue",
