@@ -1,2 +1,52 @@
-MORE: dict = {}
-MORE_SQL: dict = {}
+"""Queries that are not one SQL text: jitter, the streamed fold, violations and the newest runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixtures
+from ..functions.random import jitter
+from ..operators.reads import current_runs, violations
+from ..streaming.fold import streamed_fold
+
+
+def retry_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timers = fixtures.timers(spark, sf_dir)
+    counter = F.col("event_id") * 1000003 + F.col("attempt")
+    return timers.select("run_id", "event_id", F.round(jitter(F.col("run_id"), counter), 12).alias("jitter"))
+
+
+def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed_fold(spark, f"{sf_dir}/event[s].parquet")  # a pattern: a table may be one file or a folder
+
+
+def newest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return current_runs(fixtures.executions(spark, sf_dir))
+
+
+def structural_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return violations(fixtures.history(spark, sf_dir))
+
+
+MORE = {f.__name__: f for f in (retry_jitter, stream_fold, newest_runs, structural_violations)}
+
+_G, _A, _B, _M = "11400714819323198485", "13787848793156543929", "10723151780598845931", "18446744073709551616"
+
+
+def _mixed(x: str, name: str, rest: str) -> str:
+    """Three nested selects that apply splitmix64 to the UBIGINT x."""
+    wrap = lambda e, by: f"CAST(CAST({e} AS UHUGEINT) * {by}::UHUGEINT % {_M}::UHUGEINT AS UBIGINT)"
+    one = f"SELECT *, CAST((CAST({x} AS UHUGEINT) + {_G}::UHUGEINT) % {_M}::UHUGEINT AS UBIGINT) AS a FROM {rest}"
+    two = f"SELECT *, {wrap('xor(a, a >> 30)', _A)} AS b FROM ({one})"
+    three = f"SELECT *, {wrap('xor(b, b >> 27)', _B)} AS c FROM ({two})"
+    return f"(SELECT * EXCLUDE (a, b, c), xor(c, c >> 31) AS {name} FROM ({three}))"
+
+
+_INNER = _mixed("CAST(event_id * 1000003 + attempt AS UBIGINT)", "k", "timers")
+MORE_SQL = {
+    "retry_jitter": f"WITH {fixtures.CTES['timers']} SELECT run_id, event_id, round(CAST(m >> 11 AS DOUBLE) / 9007199254740992, 12) AS jitter FROM {_mixed('xor(CAST(run_id AS UBIGINT), k)', 'm', _INNER)}",
+    "stream_fold": "SELECT user_id AS run_id, count(*) AS events, max(event_id) AS last_event_id, max(epoch_us(ts) * 1000) AS last_event_time, greatest(count(CASE WHEN event_type = 'click' THEN 1 END) - count(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END), 0) AS open_activities FROM events GROUP BY user_id",
+    "newest_runs": f"WITH {fixtures.CTES['executions']} SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY ns, workflow_id ORDER BY started_at DESC, run_id DESC) AS k FROM executions) WHERE k = 1",
+    "structural_violations": f"WITH {fixtures.CTES['history']} SELECT run_id, event_id, 'V2' AS rule FROM history WHERE event_id = 1 AND event_type <> 1",
+}
