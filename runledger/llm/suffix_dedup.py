@@ -247,12 +247,13 @@ def _cut_out(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Reco
         for d, text, lists in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("lists").to_pylist(), strict=True):
             raw = (text or "").encode()
             h, mark, first, last = pieces(np.frombuffer(raw, np.uint8))
-            for x in lists:
-                known = np.frombuffer(x["marks"], np.uint64).reshape(-1, 2)
-                hit = np.flatnonzero(np.isin(mark, known[:, 1]) & np.isin(h, known[:, 0]))
-                if x["whole"] and len(hit):
+            for whole in (True, False):
+                # one look-up for all buckets that the document's pieces came from
+                known = np.frombuffer(b"".join(x["marks"] for x in lists if x["whole"] == whole), np.uint64).reshape(-1, 2)[:, 1]
+                hit = np.flatnonzero(np.isin(mark, known)) if len(known) else known
+                if whole and len(hit):
                     rows.append((d, _spans(first[hit], last[hit]), None, None, None))
-                elif not x["whole"]:
+                elif not whole:
                     rows += [(d, None, int(h[k] // _U(7) % _U(groups)), int(first[k]), raw[first[k] : last[k] + WIDTH]) for k in hit.tolist()]
             if len(rows) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
