@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_slices, cut, text_buffer, with_ids
@@ -164,10 +164,35 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.where(alike).select("a", "b").distinct()
 
 
-def private_counts(sets: DataFrame) -> DataFrame:
-    """doc_id, private: shingles that no other document of the table has."""
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """doc_id, shared: the shingles that another document of the table has as well."""
     each = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
-    return each.where("n = 1").groupBy("rep").agg(F.count("*").alias("private"))
+    private = each.where("n = 1").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("shingle").alias("private"))
+    none = F.array().cast("array<bigint>")
+    return sets.join(private, "doc_id", "left").select("doc_id", F.array_except("shingles", F.coalesce("private", none)).alias("shared"))
+
+
+#: 256 bits, as four words: one for each shingle of an array.
+WORDS = 4
+_BITS = "aggregate(filter(outside, s -> (s & 3) = {}), 0L, (w, s) -> w | shiftleft(1L, cast(shiftright(s, 2) & 63 as int)))"
+
+
+def against_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (rep, pivot): inside and outside, how many of rep's shared shingles the pivot has and hasn't;
+    bits of those outside, and spare, how many of them fell on a bit already set."""
+    both = pairs.join(shared_shingles(sets).toDF("rep", "shared"), "rep").join(sets.toDF("pivot", "pivot_set"), "pivot")
+    both = both.select("rep", "pivot", F.size("shared").alias("most"), F.array_except("shared", "pivot_set").alias("outside"))
+    both = both.select("rep", "pivot", "most", F.size("outside").alias("outside"), *(F.expr(_BITS.format(i)).alias(f"bits{i}") for i in range(WORDS)))
+    spare = F.col("outside") - sum((F.bit_count(f"bits{i}") for i in range(1, WORDS)), F.bit_count("bits0"))
+    return both.withColumn("inside", F.col("most") - F.col("outside")).withColumn("spare", spare)
+
+
+def most_common(left: str, right: str) -> Column:
+    """A bound on the intersection of two undecided sets: what both have of their pivot, and what else they can share."""
+    here, there = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
+    bits = [F.bit_count(here(f"bits{i}").bitwiseAND(there(f"bits{i}"))) for i in range(WORDS)]
+    both = sum(bits[1:], bits[0]) + F.least(here("spare"), there("spare"))
+    return F.least(here("inside"), there("inside")) + F.least(here("outside"), there("outside"), both)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,21 +235,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, bands: i
     links = cut(verified(shingle_table(docs, ids, width), pairs, percent).union(owned.toDF("a", "b")))
     labels = components(links)
     # What is undecided: members of different components in a bucket, its pivot left out.
-    rest = members.where("rep != pivot").select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    rest = members.where("rep != pivot").select("key", "pivot", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     rest = cut(rest.withColumn("component", F.coalesce("component", "rep")))
     per = rest.groupBy("key", "component").agg(F.count("*").alias("n_in"))
     major = cut(per.groupBy("key").agg(F.max_by("component", F.struct("n_in", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
     if major.take(1):
         rest = cut(rest.join(major, "key"))
-        sets = shingle_table(docs, cut(rest.select(F.col("rep").alias("doc_id")).distinct()), width)
-        # Shingles that no other undecided document has bound each intersection, exactly: most members of a large
-        # group that are linked with none of it go here, and are not paired.
-        rest = rest.join(private_counts(sets), "rep", "left").withColumn("most", F.col("n") - F.coalesce("private", F.lit(0)))
-        rest = cut(rest.where(F.col("most") * 100 >= F.col("n") * percent).drop("private"))
-        minor = rest.where("component != major").select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("most").alias("other_most"))
-        enough = F.least("most", "other_most") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-        pairs = rest.join(minor, "key").where((F.col("component") != F.col("other")) & near(F.col("n"), F.col("m")) & enough)
-        more = cut(verified(sets, cut(pairs.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()), percent))
+        sets = shingle_table(docs, cut(rest.select(F.explode(F.array("rep", "pivot")).alias("doc_id")).distinct()), width)
+        # Exact bounds on each intersection leave few pairs of a large group whose members are not linked: shingles that
+        # no other of these documents has don't count, those of the pivot count once for both, and the bits of the rest
+        # must agree.
+        bounds = cut(against_pivots(rest.select("rep", "pivot").distinct(), sets))
+        rest = cut(rest.join(bounds, ["rep", "pivot"]).where(F.col("most") * 100 >= F.col("n") * percent))
+        left, right = rest.alias("l"), rest.where("component != major").alias("r")
+        n, m = F.col("l.n"), F.col("r.n")
+        enough = most_common("l", "r") * (100 + percent) >= (n + m) * percent
+        pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & near(n, m) & enough)
+        pairs = pairs.select(F.greatest("l.rep", "r.rep").alias("a"), F.least("l.rep", "r.rep").alias("b")).distinct()
+        more = cut(verified(sets, cut(pairs), percent))
         if more.take(1):
             labels = components(cut(links.union(more)))
     parts = labels.toDF("doc_id", "component_id")
