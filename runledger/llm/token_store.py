@@ -20,16 +20,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import arrow_slices, shared_dir
 
 BLOCK, PERCENTILE, SHARD = 128, 0.9, 1 << 18
 MAGIC = b"PFOR1\0\0\0"
 END = 0
 CACHE = 800_000
+#: Bytes of text that are encoded together, or one text.
+SLICE = 8 << 20
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -122,64 +125,81 @@ class Encoder:
     """Encodes whole texts with a file of the tokenizers library.
 
     A single space before a character that isn't white space always begins a piece of byte-level BPE's pre-tokenizer,
-    so a text's ids are those of its space-separated chunks; frequent chunks are remembered, CACHE of them at most.
-    New chunks are encoded as one text, whose ids are dealt back by the bytes that each id stands for; where the ends
-    don't fall on chunk ends, and for texts with other spacing, each text is encoded on its own."""
+    so a text's ids are those of its space-separated chunks. The different chunks of a batch are looked up among those
+    seen before (CACHE of them at most) and their ids gathered by array operations. New chunks are encoded as one text,
+    whose ids are dealt back by the bytes that each id stands for; where the ends don't fall on chunk ends, and for
+    texts with other spacing, each text is encoded on its own."""
 
     def __init__(self, path: str, by_chunk: bool = True):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.by_chunk = by_chunk and type(self.library.pre_tokenizer).__name__ == "ByteLevel"
-        self.known: dict[str, bytes | None] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, k in vocabulary.items():
             self.bytes_of[k] = len(token)
+        self._forget()
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        """Seen chunks have numbers; number 0, without ids, is that of all that can't be encoded by themselves."""
+        self.known: dict[str, int] = {}
+        self.ends, self.ids = np.zeros(2, np.int32), np.empty(0, np.uint32)
 
-    def _spaced(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks, each after a space."""
-        if not chunks:
-            return []
-        ids = np.array(self.library.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and their number in each."""
+        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found or [np.empty(0, np.uint32)]), np.array([len(f) for f in found], np.int64)
+
+    def _spaced(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of chunks, each after a space."""
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum([len(c.encode("utf-8", "replace")) + 1 for c in chunks])
         at = np.cumsum(self.bytes_of[ids])
         cut = np.searchsorted(at, ends)
         if not len(at) or at[-1] != ends[-1] or (at[cut] != ends).any():
             return self._plain([" " + c for c in chunks])
-        raw, stop = ids.tobytes(), ((cut + 1) * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
+        return ids, np.diff(np.concatenate(([-1], cut)))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
-            self.known = {}
+            self._forget()
         known = self.known
-        out: list[bytes] = [b""] * len(texts)
-        alone, split = [], []
-        new: set[str] = set()
-        for k, text in enumerate(texts):
-            if not self.by_chunk:
-                alone.append((k, text))
-                continue
-            first, *chunks = text.split(" ")
-            alone.append((k, first))
-            split.append((k, chunks))
-            new.update(chunks)
-        for (k, _), ids in zip(alone, self._plain([t for _, t in alone]), strict=True):
-            out[k] = ids
-        missing = [c for c in new if c not in known]
-        known.update(dict.fromkeys(c for c in missing if not c or c[0].isspace()))
-        missing = [c for c in missing if c not in known]
-        known.update(zip(missing, self._spaced(missing), strict=True))
-        for k, chunks in split:
-            try:
-                out[k] += b"".join(map(known.__getitem__, chunks))
-            except TypeError:  # a chunk that begins with white space: None
-                (out[k],) = self._plain([texts[k]])
-        return out
+        unseen = [c for c, k in zip(chunks, map(known.get, chunks), strict=True) if k is None]
+        known.update(dict.fromkeys((c for c in unseen if not c or c[0].isspace()), 0))
+        new = [c for c in unseen if c and not c[0].isspace()]
+        if new:
+            ids, count = self._spaced(new)
+            known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(count, dtype=np.int32)))
+            self.ids = np.concatenate((self.ids, ids))
+        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls) and their number in each."""
+        if not self.by_chunk or not len(texts):
+            return self._plain(texts.to_pylist())
+        split = pc.split_pattern(texts, " ")
+        chunks, sizes = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+        head = np.cumsum(sizes) - sizes
+        later = np.ones(len(chunks), bool)
+        later[head] = False
+        rest = chunks.filter(pa.array(later)).dictionary_encode()
+        number = np.empty(len(chunks), np.int64)
+        number[later] = self._numbers(rest.dictionary.to_numpy(zero_copy_only=False).tolist())[rest.indices.to_numpy()]
+        number[head] = len(self.ends) - 1 + np.arange(len(texts))
+        # A text's first chunk has no space before it; of a text with other spacing, the whole takes its place.
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        alone = np.unique(owner[number == 0])
+        number[np.isin(owner, alone) & later] = 0
+        firsts = chunks.take(pa.array(head)).to_pylist()
+        for k in alone.tolist():
+            firsts[k] = texts[k].as_py()
+        ids, count = self._plain(firsts)
+        ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(count, dtype=np.int32)))
+        found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate((self.ids, ids)))).take(pa.array(number))
+        stop = found.offsets.to_numpy()[head + sizes].astype(np.int64)
+        return found.flatten().to_numpy(), np.diff(stop, prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -196,25 +216,26 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     encode, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-    end = np.array([END], "<u4").tobytes()
     doc_ids: list[int | None] = []
-    pieces: list[bytes] = []
+    pieces: list[np.ndarray] = []
     size = 0
 
     def shard() -> pa.RecordBatch:
-        body = to_shard(doc_ids, [len(p) // 4 for p in pieces], np.frombuffer(b"".join(pieces), "<u4"))
+        body = to_shard(doc_ids, [len(p) for p in pieces], np.concatenate(pieces))
         row = [[part], [seq], [len(doc_ids)], [size], [body]]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["part", "seq", "n_docs", "n_tokens", "bytes"])
 
     for batch in batches:
-        for low in range(0, batch.num_rows, 256):
-            some = batch.slice(low, 256)
-            texts = ["" if t is None else t for t in some.column("text").to_pylist()]
-            for d, ids in zip(some.column("doc_id").to_pylist(), encode(texts), strict=True):
+        for low, high in arrow_slices(batch, "text", SLICE):
+            some = batch.slice(low, high - low)
+            ids, count = encode(some.column("text").fill_null(""))
+            ends = np.cumsum(count)
+            ids, ends = np.insert(ids, ends, END), ends + np.arange(1, len(ends) + 1)
+            for d, a, b in zip(some.column("doc_id").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 doc_ids.append(d)
-                pieces.append(ids + end)
-                size += len(ids) // 4 + 1
+                pieces.append(ids[a:b])
+                size += b - a
                 if size >= SHARD:
                     yield shard()
                     doc_ids, pieces, size, seq = [], [], 0, seq + 1

@@ -4,6 +4,7 @@ import collections
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,7 +155,10 @@ def test_tokens_edges(spark, tmp_path):
     assert token_store.stored(df.limit(0)).count() == 0
     odd_texts = ["a  b", "a \n b", "x\n\ny z", " a", "a ", "a\tb c", "<|endoftext|> q", "it's  we'll 12 34", "\xa0 a b \x1c c", "é à", "!? ..a 9b"]
     by_chunk, plain = token_store.Encoder(str(path)), token_store.Encoder(str(path), by_chunk=False)
-    assert by_chunk(odd_texts) == plain(odd_texts)
+    texts = pa.array(odd_texts + ["", "a b c"] * 3 + odd_texts)
+    for _ in range(2):  # the second time from what was remembered
+        for mine, its in zip(by_chunk(texts), plain(texts), strict=True):
+            assert mine.tolist() == its.tolist()
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
