@@ -85,3 +85,18 @@ def test_license_scores_equal_plain_cosine(spark):
         top = max(cos(b, t) for t in bags[len(texts) :])
         assert (f"d/{k}" in got) == (top >= license_scan.THRESHOLD)
         assert f"d/{k}" not in got or got[f"d/{k}"] == pytest.approx(top, abs=1e-5)
+
+
+def test_full_license_files_and_notices_within_text(spark):
+    full = dict(license_scan.FULL)
+    prose = " ".join(f"alpha{k} beta the of and to{k}" for k in range(150))
+    rows = [(f"{name}/COPYING", f"Copyright (c) 2019 Jane Roe\n\n{text}") for name, text in license_scan.FULL] + [(f"{name}/src/a", "x") for name in full]
+    rows += [("run/on", f"{prose} released under the MIT License {prose}"), ("run/other", "x"), ("wrap/a", f"{prose}\nThis work is licensed under the GNU General\nPublic License, version 3.\n{prose}"), ("prose/a", f"copyright {prose} " + "the of and to any in or that license " * 200), ("many/a", "word " * 200 + "\nReleased under the MIT License."), ("many/b", "x"), ("short/a", "word " * 78 + "\nReleased under the MIT License."), ("short/b", "x")]
+    rows += [("head/a", "\n".join(["# " + x for x in full["MIT"].splitlines()] + [f"call{k} = value{k}" for k in range(300)])), ("head/b", "x")]
+    out = {r.path: (r.license, r.via) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in full:
+        assert out[f"{name}/COPYING"] == (name, "own") and out[f"{name}/src/a"] == (name, name)
+    assert out["run/on"] == ("MIT", "own") and out["run/other"] == (None, None)
+    assert out["wrap/a"] == ("GPL-3.0", "own") and out["prose/a"] == (None, None)
+    assert out["head/a"] == ("MIT", "own") and out["head/b"] == (None, None)
+    assert out["many/b"] == (None, None) and out["short/b"] == ("MIT", "short")
