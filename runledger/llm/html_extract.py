@@ -19,7 +19,7 @@ from .common import cut
 #: Paths kept per host (the first in votes) and hosts up to which their paths may be broadcast.
 PATHS, BROADCAST_HOSTS = 8, 50_000
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"""|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
     re.S | re.I,
 )
@@ -27,34 +27,42 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _CONTAINER = frozenset("body main article section div td center blockquote".split())
 _BLOCK = _CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre table tr th thead tbody figure figcaption header footer nav aside form fieldset hr address html head title details summary".split())
 _VOID = frozenset("br hr img input meta link source wbr area base col embed param track".split())
-_SKIP = frozenset("head title nav header footer aside form button fieldset menu dialog figcaption label".split())
-_WASTE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|comments?|replies|reply|disqus|respond|related|share|social|popup|modal|newsletter|subscribe|login|search|form)(?:$|[-_\s\d])", re.I)
+_SKIP = frozenset("head title nav header footer aside form button fieldset menu dialog".split())
+#: Whole class, id and role tokens that mark waste.
+_WASTE = re.compile(r"(?:(?:site|page|main|global|top|bottom)[-_])?(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|nav\w*|menu|breadcrumbs?|sidebar|side|widgets?|footer|header|masthead|comments?|replies|reply|disqus|respond|related|share|social|popup|modal|newsletter|subscribe|login|search|form)(?:[-_]?(?:\d+|area|banner|bar|box|buttons?|form|links|list|notice|posts|slot))?", re.I)
+#: Elements that no class or id makes waste, and those that show that what is around them is not waste.
+_NEVER, _CONTENT = frozenset("html body main article".split()), frozenset("main h1".split())
+_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _ENDS_P = _BLOCK - frozenset(["br"])
 
 
 def _name(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised step of a path, and whether it marks waste."""
-    kept, waste = [], tag in _SKIP
+    """The generalised step of a path, and whether a class, id or role marks waste."""
+    kept, waste = [], False
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        waste = waste or bool(_WASTE.search(value))
+        waste = waste or tag not in _NEVER and any(map(_WASTE.fullmatch, value.split()))
         if m[1].lower() == "class":
             kept = sorted({re.sub(r"\d+", "N", c.lower()) for c in value.split()})
     return ".".join([tag, *kept]), waste
 
 
 def blocks(page: str) -> list[tuple[str, str, int, bool]]:
-    """(path of the container, text, characters inside links, in a paragraph) of the page's blocks, without waste."""
-    out: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path of the innermost container, within waste
+    """(path of the container, text, characters inside links, in a paragraph) of the page's blocks, without waste.
+
+    What a class, id or role marks is no waste where it holds the page's heading, <main> or first <article>, or where nothing else is left."""
+    out: list[tuple[str, str, int, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, ())]  # tag, path of the innermost container, within a skipped tag, marked elements around
+    content: set[int] = set()  # marked elements that hold the page's heading, <main> or first <article>
+    marked, articles = 0, 0
     pieces: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link, at = 0, False, 0
 
     def flush() -> None:
         nonlocal pieces, linked
         text = " ".join(entities.unescape("".join(pieces)).split()) if pieces else ""
         if text and not stack[-1][2]:
-            out.append((stack[-1][1], text, linked, any(t[0] in ("p", "pre", "h1", "h2", "h3", "li") for t in stack[-3:])))
+            out.append((stack[-1][1], text, linked, any(t[0] in ("p", "pre", "h1", "h2", "h3", "li") for t in stack[-3:]), stack[-1][3]))
         pieces, linked = [], 0
 
     for m in _TOKEN.finditer(page):
@@ -72,7 +80,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
             pieces.append(" ")
         if m[2]:
             if tag == "a":
-                in_link = max(0, in_link - 1)
+                in_link = False
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     if tag not in _BLOCK and any(t[0] in _BLOCK for t in stack[k + 1 :]):
@@ -83,7 +91,9 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         if tag in _VOID:
             continue
         if tag == "a":
-            in_link += 1
+            # one that is not closed before the next begins is no link
+            end = _LINK.search(page, at)
+            in_link = end is not None and end[1] == "/"
         if tag in _ENDS_P and stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li":
             stack.pop()
         elif tag in _BLOCK:
@@ -94,12 +104,19 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
             if k > 0 and stack[k][0] == "p":
                 del stack[k:]
         step, waste = _name(tag, m[4])
-        path = stack[-1][1]
-        stack.append((tag, f"{path}/{step}" if tag in _CONTAINER else path, stack[-1][2] or waste))
+        _, path, skipped, around = stack[-1]
+        if waste:
+            marked += 1
+            around = (*around, marked)
+        articles += tag == "article" and not skipped
+        if not skipped and (tag in _CONTENT or tag == "article" and articles == 1):
+            content.update(around)
+        stack.append((tag, f"{path}/{step}" if tag in _CONTAINER else path, skipped or tag in _SKIP, around))
     if at < len(page):
         pieces.append(page[at:])
     flush()
-    return out
+    kept = [b[:4] for b in out if content.issuperset(b[4])]
+    return kept or [b[:4] for b in out]
 
 
 def scores(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:

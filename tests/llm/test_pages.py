@@ -100,3 +100,20 @@ def test_full_license_files_and_notices_within_text(spark):
     assert out["wrap/a"] == ("GPL-3.0", "own") and out["prose/a"] == (None, None)
     assert out["head/a"] == ("MIT", "own") and out["head/b"] == (None, None)
     assert out["many/b"] == (None, None) and out["short/b"] == ("MIT", "short")
+
+
+def test_extract_keeps_what_layout_classes_mark(spark):
+    text = "<h1>Head</h1><p>One two three four five.</p>"
+    waste = '<div class="sidebar"><p>aside</p></div><nav>nav</nav>'
+    pages = [
+        f'<body class="single has-sidebar">{waste}<div>{text}</div></body>',
+        f'<body class="search">{waste}<article class="post comments-open">{text}</article></body>',
+        f'<body><div class="no-sidebar header-fixed">{waste}<main id="search">{text}</main></div></body>',
+        f'<body><div class="search">{waste}<div>{text}</div></div></body>',
+        '<body><div class="notice"><p>One two three four five.</p></div></body>',
+        f'<body><article>{text}<figure><figcaption>Below</figcaption></figure><p>x <math><mi>y</mi></math></p><label>z</label></article></body>',
+    ]
+    out = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame([(k, f"https://h{k}.example/", h, "") for k, h in enumerate(pages)], PAGE)).collect()}
+    assert [out[k] for k in range(4)] == ["Head\n\nOne two three four five."] * 4
+    assert out[4] == "One two three four five."
+    assert out[5] == "Head\n\nOne two three four five.\n\nBelow\n\nx y\n\nz"
