@@ -1,8 +1,9 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text of the blocks they hold directly; every page votes for the generalised
-tag-class path of its best container. Spark adds the votes per host, and each page is then extracted again at the path
-of its host that won most votes among those the page has; a page with none of them uses its own best container."""
+tag-class path of its best container. Spark adds the votes per host. Of the containers that hold most of a page's best
+score, the page is extracted at the one whose path won most votes of its host: the best one, where it stands alone. The
+text is that of the article around the container, if there is one."""
 
 from __future__ import annotations
 
@@ -11,13 +12,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Paths kept per host (the first in votes) and hosts up to which their paths may be broadcast.
-PATHS, BROADCAST_HOSTS = 8, 50_000
+#: Rows up to which the choices between containers may be broadcast.
+BROADCAST_CHOICES = 50_000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"""|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
@@ -121,58 +122,69 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
 
 def scores(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
     """Score of each container path: characters of its own blocks outside links, paragraphs in full, other blocks a quarter;
-    half of them also count for the container around it."""
+    half of them also count for the container around it. Where links leave no points, their characters count as well."""
+    return _scores(found, 2) or _scores(found, 0)
+
+
+def _scores(found: list[tuple[str, str, int, bool]], penalty: int) -> dict[str, float]:
     out: dict[str, float] = {}
     for path, text, linked, paragraph in found:
-        worth = max(0, len(text) - 2 * linked) * (1.0 if paragraph else 0.25)
+        worth = max(0, len(text) - penalty * linked) * (1.0 if paragraph else 0.25)
         last = path.rpartition("/")[2]
         worth *= 1.5 if last.startswith(("article", "main")) else 1.0
         out[path] = out.get(path, 0.0) + worth
         around = path.rpartition("/")[0]
         if around:
             out[around] = out.get(around, 0.0) + worth / 2
-    return out
+    return {p: x for p, x in out.items() if x > 0}
 
 
 def main_text(found: list[tuple[str, str, int, bool]], path: str) -> str:
+    """The blocks of the innermost article around the container at the path, else of main, else of the container."""
+    steps = path.split("/")
+    for kind in ("article", "main"):
+        inner = max((k for k, x in enumerate(steps) if x.partition(".")[0] == kind), default=None)
+        if inner is not None:
+            path = "/".join(steps[: inner + 1])
+            break
     return "\n\n".join(text for at, text, _, _ in found if at == path or at.startswith(path + "/"))
 
 
-def _best(points: dict[str, float]) -> str | None:
+def _candidates(points: dict[str, float]) -> list[str]:
+    """The paths that hold most of the best score, the best first."""
     top = max(points.values(), default=0.0)
-    return min((p for p, x in points.items() if x == top), key=lambda p: (-len(p), p)) if top > 0 else None
+    return sorted((p for p, x in points.items() if x > top / 2), key=lambda p: (-points[p], -len(p), p))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        best = [_best(scores(blocks(h.as_py() or ""))) for h in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(best, pa.string())], ["host", "path"])
+        found = [_candidates(scores(blocks(h.as_py() or ""))) for h in batch.column("html")]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.string()))], ["host", "candidates"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, used = [], []
-        for h, paths in zip(batch.column("html"), batch.column("paths").to_pylist(), strict=True):
+        candidates, texts = [], []
+        for h in batch.column("html"):
             found = blocks(h.as_py() or "")
-            points = scores(found)
-            path = next((p for p in paths or () if points.get(p, 0) > 0), None) or _best(points)
-            texts.append("" if path is None else main_text(found, path))
-            used.append(path)
-        names = [n for n in batch.schema.names if n not in ("html", "paths")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(used, pa.string())], [*names, "text", "path"])
+            candidates.append(_candidates(scores(found)))
+            texts.append([main_text(found, path) for path in candidates[-1]])
+        names = [n for n in batch.schema.names if n != "html"]
+        arrays = [pa.array(x, pa.list_(pa.string())) for x in (candidates, texts)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *arrays], [*names, "candidates", "texts"])
 
 
 def host(url: str = "url") -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^\s*[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """host, paths: the container paths that pages of the host voted for, most votes first."""
-    votes = pages.select(host().alias("host"), F.col("html").cast("string")).mapInArrow(_votes, "host string, path string").where("path is not null")
-    counts = votes.groupBy("host", "path").agg(F.count("*").alias("votes"))
-    order = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc(F.length("path")), "path"))
-    ranked = counts.withColumn("rank", order).where(F.col("rank") <= PATHS)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+def choices(pages: DataFrame) -> DataFrame:
+    """host, candidates, chosen (counted from 1) of the lists of candidates from which the votes choose another than the first."""
+    found = cut(pages.select(host().alias("host"), F.col("html").cast("string")).mapInArrow(_votes, "host string, candidates array<string>").where("size(candidates) > 0"))
+    votes = found.groupBy("host", F.col("candidates")[0].alias("path")).agg(F.count("*").alias("votes"))
+    open_ = found.where("size(candidates) > 1").distinct().select("host", "candidates", F.posexplode("candidates").alias("at", "path"))
+    won = F.max_by(F.col("at") + 1, F.struct("votes", F.length("path"), -F.col("at"))).alias("chosen")
+    return open_.join(votes, ["host", "path"]).groupBy("host", "candidates").agg(won).where("chosen > 1")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -180,9 +192,14 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text; pages without a host in their url share the host ''. Repeated rows are
     extracted alike. Other columns are ignored."""
-    paths = cut(host_paths(pages))
+    chosen = cut(choices(pages))
     rows = pages.select("page_id", "url", F.col("html").cast("string"), host().alias("host"))
-    known = rows.join(F.broadcast(paths) if paths.count() <= BROADCAST_HOSTS else paths, "host", "left").drop("host").select("page_id", "url", "html", "paths")
     kinds = dict(rows.dtypes)
-    out = known.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, path string")
-    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "path")
+    out = rows.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, candidates array<string>, texts array<string>")
+    if (n := chosen.count()) > 0:
+        out = out.join(F.broadcast(chosen) if n <= BROADCAST_CHOICES else chosen, ["host", "candidates"], "left")
+    else:
+        out = out.withColumn("chosen", F.lit(1))
+    at = F.coalesce("chosen", F.lit(1))
+    text = F.coalesce(F.get("texts", at - 1), F.lit("")).alias("text")
+    return out.select("page_id", "url", text, F.get("candidates", at - 1).alias("path")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "path")

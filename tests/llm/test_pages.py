@@ -117,3 +117,25 @@ def test_extract_keeps_what_layout_classes_mark(spark):
     assert [out[k] for k in range(4)] == ["Head\n\nOne two three four five."] * 4
     assert out[4] == "One two three four five."
     assert out[5] == "Head\n\nOne two three four five.\n\nBelow\n\nx y\n\nz"
+
+
+def test_extract_with_several_templates_on_a_host(spark):
+    long = "<p>" + "many words of the article " * 8 + "</p>"
+    want = ("many words of the article " * 8).strip()
+    pages = [f'<body><div class="a">{long}</div></body>'] * 12 + [f'<body><div class="a"><p>short</p></div><div class="b">{long}</div></body>'] * 3
+    pages += [f'<body><p>lead</p><div class="t{chr(97 + k)}">{long}</div></body>' for k in range(10) for _ in range(11 - k)]
+    whole = f'<body><article><h1>Head</h1><div class="content">{long}</div><section class="more"><p>More</p></section></article></body>'
+    linked = f'<body><div class="l"><p><a href="/">{"link " * 9}</a> own</p></div></body>'
+    unclosed = f'<body><a name="top"><div class="u">{long}</div><a href="/x">x</a></body>'
+    pages += [whole, linked, unclosed]
+    out = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame([(k, "https://one.example/", h, "") for k, h in enumerate(pages)], PAGE)).collect()}
+    assert {out[k] for k in range(len(pages) - 3)} == {want}
+    assert out[len(pages) - 3] == f"Head\n\n{want}\n\nMore"
+    assert out[len(pages) - 2] == ("link " * 9).strip() + " own" and out[len(pages) - 1] == want
+
+
+def test_extract_follows_the_votes_between_like_containers(spark):
+    a, b = '<div class="a"><p>{}</p></div>', '<div class="b"><p>{}</p></div>'
+    pages = [f"<body>{a.format('x' * 90)}</body>"] * 5 + [f"<body>{a.format('y' * 60)}{b.format('z' * 70)}</body>"]
+    out = {r.page_id: r for r in html_extract.extracted(spark.createDataFrame([(k, "https://one.example/", h, "") for k, h in enumerate(pages)], PAGE)).collect()}
+    assert out[5].path == "/body/div.a" and out[5].text == "y" * 60
