@@ -22,7 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicated(docs)
+    # five words and 0.8: 40 bands of 5 rows miss a pair at that similarity with probability (1 - 0.8**5)**40, 1.3e-7
+    return deduplicated(docs, percent=80, width=5, bands=40, rows=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

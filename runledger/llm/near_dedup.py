@@ -264,9 +264,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, bands: i
     )
 
 
-def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = 85, width: int = 3, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of docs with one document of each group: the one with the least doc_id, once."""
-    result = cut(near_duplicates(docs, percent).select("doc_id", "kept"))
+    result = cut(near_duplicates(docs, percent, width, bands, rows).select("doc_id", "kept"))
     gone = cut(result.where("not kept").select("doc_id").distinct())
     again = cut(result.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     left = with_ids(docs, gone, "doc_id", "left_anti") if gone.take(1) else docs

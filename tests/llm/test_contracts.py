@@ -188,3 +188,17 @@ def test_stages_keep_columns_and_decide_as_the_queries(spark, sf_dir):
     got = collections.Counter(r.doc_id for r in corpus_pipeline.source_mix(spark, docs, d).collect())
     want = {r.doc_id: r.taken // r.size for r in registry.QUERIES["op6_source_mix"](spark, d).where("taken > 0").collect()}
     assert {k: v for k, v in got.items() if k in want} == want
+
+
+def test_near_dedup_stage_takes_five_words_and_four_fifths(spark, sf_dir):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(400)]
+    # 396 shingles of five words; an inserted passage of 86 words adds 90 and breaks 4: 392 / 486 = 0.807
+    # of three words: 396 / 486 = 0.815; both under op1's 0.85
+    longer = words[:200] + [f"n{i}" for i in range(86)] + words[200:]
+    rows = [(1, " ".join(words)), (2, " ".join(longer)), (3, "one two three four five"), (4, "one two three five four")]
+    # every 20th word changed: under 0.8 by five words
+    rows += [(5, " ".join(f"c{i}" if i % 20 == 0 else w for i, w in enumerate(words)))]
+    docs = spark.createDataFrame([(d, t, None, None, len(t)) for d, t in rows], DOC)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == [1, 3, 4, 5]
