@@ -37,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_ids(big: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+def with_ids(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """Joins big with a cut table of keys: by broadcast up to BROADCAST_ROWS rows, by shuffle beyond."""
     small = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     return big.join(small, key, how)

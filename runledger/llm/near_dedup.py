@@ -222,8 +222,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, bands: i
     sketch = cut(sketches(docs, width, bands, rows))
     some = sketch.where("n_shingles > 0 and doc_id is not null")
     copies = cut(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    owned = cut(some.join(copies, "set_key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).where("doc_id != rep").distinct())
-    first = some.join(owned.select("doc_id").distinct(), "doc_id", "left_anti") if owned.take(1) else some
+    owned = cut(some.join(copies, "set_key", "left").select("doc_id", "set_key", F.coalesce("rep", "doc_id").alias("rep")).where("doc_id != rep").distinct())
+    first = some.join(owned.select("doc_id", "set_key"), ["doc_id", "set_key"], "left_anti") if owned.take(1) else some
     spread = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n")).distinct()
     shared = cut(spread.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot != top"))
     members = cut(spread.join(shared.drop("top"), "key"))
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, bands: i
     pairs = members.where("rep != pivot").join(size, "key").where(near(F.col("n"), F.col("pivot_n"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     pairs = cut(pairs.distinct())
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    links = cut(verified(shingle_table(docs, ids, width), pairs, percent).union(owned.toDF("a", "b")))
+    links = cut(verified(shingle_table(docs, ids, width), pairs, percent).union(owned.select("doc_id", "rep").distinct().toDF("a", "b")))
     labels = components(links)
     # What is undecided: members of different components in a bucket, its pivot left out.
     rest = members.where("rep != pivot").select("key", "pivot", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")

@@ -308,10 +308,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     base = cut(sized.drop("text"))
     long = base.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= WIDTH))
     first = cut(long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("top")).where("first != top").drop("top"))
-    copies = cut(long.join(first, "sha").where("doc_id != first").select("doc_id").distinct())
+    copies = cut(long.join(first, "sha").where("doc_id != first").select("doc_id", "sha").distinct())
+    # documents that have other long texts than their copies
+    mixed = cut(long.join(copies.select("doc_id").distinct(), "doc_id", "left_semi").join(copies, ["doc_id", "sha"], "left_anti").select("doc_id").distinct())
+    alone = cut(copies.select("doc_id").distinct().join(mixed, "doc_id", "left_anti"))
     total = long.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(8, total // BUCKET_BYTES)
-    rest = with_ids(text, copies, "doc_id", "left_anti") if copies.take(1) else text
+    rest = with_ids(text, alone, "doc_id", "left_anti") if alone.take(1) else text
+    several = bool(mixed.take(1))
+    if several:
+        parted = cut(copies.join(mixed, "doc_id", "left_semi"))
+        sha = F.sha2(F.col("text").cast("binary"), 256)
+        rest = with_ids(rest.withColumn("sha", sha), parted, ["doc_id", "sha"], "left_anti").drop("sha")
     marks = rest.mapInArrow(lambda it: _fingerprints(it, buckets), "bucket long, ids binary, counts binary, marks binary")
     lists = cut(marks.groupBy("bucket").applyInPandas(_meet, "doc_id long, whole boolean, marks binary"))
     per = lists.groupBy("doc_id").agg(F.collect_list(F.struct("whole", "marks")).alias("lists"))
@@ -328,6 +336,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     span = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))
     none = F.slice(span, 1, 0)
     other = with_ids(base, losing, "doc_id", "left_anti") if losing.take(1) else base
+    if several:
+        other = other.unionByName(with_ids(with_ids(base, parted, ["doc_id", "sha"], "left_semi"), losing, "doc_id").select(other.columns))
     gone = other.join(first, "sha", "left").withColumn("gone", F.coalesce(F.col("doc_id") != F.col("first"), F.lit(False)))
     plain = gone.select("doc_id", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(F.col("gone"), span).otherwise(none).alias("removed"), F.when(F.col("gone"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha")).alias("kept_sha256"))
     return removed.unionByName(plain).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "removed", "kept_sha256")

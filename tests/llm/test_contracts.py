@@ -202,3 +202,10 @@ def test_near_dedup_stage_takes_five_words_and_four_fifths(spark, sf_dir):
     rows += [(5, " ".join(f"c{i}" if i % 20 == 0 else w for i, w in enumerate(words)))]
     docs = spark.createDataFrame([(d, t, None, None, len(t)) for d, t in rows], DOC)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == [1, 3, 4, 5]
+
+
+def test_near_dedup_other_texts_of_a_copy(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b + " more")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1)}

@@ -35,3 +35,11 @@ def test_edges(spark):
     assert got == brute.repeats(rows)
     assert [r.n_removed for r in out if r.doc_id is None] == [0]
     assert suffix_dedup.without_repeats(df.limit(0)).count() == 0
+
+
+def test_other_texts_of_a_copy(spark):
+    rng = np.random.default_rng(5)
+    t, u, v = ("".join(rng.choice(list("abcdefghijklmnop"), 300)) for _ in range(3))
+    rows = [(1, t), (1, v), (2, t), (2, u + v[:100]), (3, "x" + u[:120])]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 300, 0), (1, 300, 0), (2, 300, 300), (2, 400, 100), (3, 121, 120)]
