@@ -60,3 +60,23 @@ def test_history_files(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"id": 1, "time": "2024-03-01T12:00:00Z", "type": "Nonsense", "attrs": {}}]')
     with pytest.raises(Exception, match="unknown event type"):
         read_histories(spark, f"{tmp_path}/b.json").collect()
+
+
+def test_violations_of_attributes_and_references(spark):
+    from runledger.operators.reads import violations
+
+    w = {"workflow_task_completed_event_id": 4}
+    good = [(1, 1, {"workflow_type": "t", "task_queue": "q"}), (2, 20, {}), (3, 21, {"scheduled_event_id": 2}), (4, 22, {"scheduled_event_id": 2, "started_event_id": 3})]
+    good += [(5, 40, {"activity_id": "a", **w}), (6, 60, {"timer_id": "t", "start_to_fire_timeout": 1, **w}), (7, 41, {"scheduled_event_id": 5}), (8, 42, {"scheduled_event_id": 5, "started_event_id": 7}), (9, 61, {"started_event_id": 6}), (10, 2, w)]
+    bad = {
+        "V4": (10, 9, None), "V5": (10, 99, {}), "V15": (6, 60, {"timer_id": "", **w}), "V16": (10, 3, w),
+        "V11": (10, 2, {"workflow_task_completed_event_id": 0}), "V12": (4, 22, {"started_event_id": 2}), "V13": (8, 42, {"scheduled_event_id": 5, "started_event_id": 5}), "V14": (9, 61, {"started_event_id": 9}),
+    }
+    runs = {"good": good} | {rule: [x if e[0] == x[0] else e for e in good] for rule, x in bad.items()}
+    rows = [(r, k, t, 1000 + k, None if a is None else json.dumps(a)) for r, events in runs.items() for k, t, a in events]
+    out = violations(spark.createDataFrame(rows, "run_id string, event_id long, event_type int, event_time long, attrs string")).collect()
+    got = {r: {x.rule for x in out if x.run_id == r} for r in runs}
+    want = {r: {r} | ({"V10"} if r in ("V11", "V12", "V13", "V14") else set()) for r in runs} | {"good": set()}
+    assert got == want
+    long = spark.range(1, 50_002).selectExpr("'r' AS run_id", "id AS event_id", "if(id = 1, 1, 9) AS event_type", "id AS event_time")
+    assert [tuple(r) for r in violations(long).collect()] == [("r", 50_001, "V1")]
