@@ -67,6 +67,15 @@ def history_range(history: DataFrame, first: int = 1, last: int = 0) -> DataFram
     return rows.where(F.col("event_id") <= last) if last else rows
 
 
+def activity_pairs(history: DataFrame) -> DataFrame:
+    """run_id, scheduled_id, started_id, closed_id of every scheduled activity: the next start and the next close among
+    all later events of its run, null where there is none. An activity without a close is pending."""
+    later = Window.partitionBy("run_id").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    next_of = lambda *kinds: F.min(F.when(F.col("event_type").isin(*kinds), F.col("event_id"))).over(later)
+    seen = history.select("run_id", "event_type", F.col("event_id").alias("scheduled_id"), next_of(41).alias("started_id"), next_of(42, 43, 44, 46).alias("closed_id"))
+    return seen.where("event_type = 40").drop("event_type")
+
+
 def violations(history: DataFrame) -> DataFrame:
     """run_id, event_id, rule: structural violations of histories (run_id, event_id, event_type, event_time, attrs).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..functions.random import jitter
-from ..operators.reads import current_runs, violations
+from ..operators.reads import activity_pairs, current_runs, violations
 from ..streaming.fold import streamed_fold
 
 
@@ -29,7 +29,11 @@ def structural_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(fixtures.history(spark, sf_dir))
 
 
-MORE = {f.__name__: f for f in (retry_jitter, stream_fold, newest_runs, structural_violations)}
+def activity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity_pairs(fixtures.history(spark, sf_dir))
+
+
+MORE = {f.__name__: f for f in (retry_jitter, stream_fold, newest_runs, structural_violations, activity_spans)}
 
 _G, _A, _B, _M = "11400714819323198485", "13787848793156543929", "10723151780598845931", "18446744073709551616"
 
@@ -49,4 +53,5 @@ MORE_SQL = {
     "stream_fold": "SELECT user_id AS run_id, count(*) AS events, max(event_id) AS last_event_id, max(epoch_us(ts) * 1000) AS last_event_time, greatest(count(CASE WHEN event_type = 'click' THEN 1 END) - count(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END), 0) AS open_activities FROM events GROUP BY user_id",
     "newest_runs": f"WITH {fixtures.CTES['executions']} SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY ns, workflow_id ORDER BY started_at DESC, run_id DESC) AS k FROM executions) WHERE k = 1",
     "structural_violations": f"WITH {fixtures.CTES['history']} SELECT run_id, event_id, 'V2' AS rule FROM history WHERE event_id = 1 AND event_type <> 1",
+    "activity_spans": f"WITH {fixtures.CTES['history']} SELECT s.run_id, s.event_id AS scheduled_id, min(CASE WHEN t.event_type = 41 THEN t.event_id END) AS started_id, min(CASE WHEN t.event_type IN (42, 43, 44, 46) THEN t.event_id END) AS closed_id FROM history s LEFT JOIN history t ON t.run_id = s.run_id AND t.event_id > s.event_id WHERE s.event_type = 40 GROUP BY s.run_id, s.event_id",
 }

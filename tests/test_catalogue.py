@@ -80,3 +80,13 @@ def test_violations_of_attributes_and_references(spark):
     assert got == want
     long = spark.range(1, 50_002).selectExpr("'r' AS run_id", "id AS event_id", "if(id = 1, 1, 9) AS event_type", "id AS event_time")
     assert [tuple(r) for r in violations(long).collect()] == [("r", 50_001, "V1")]
+
+
+def test_activity_pairs_beyond_five_events(spark):
+    from runledger.operators.reads import activity_pairs
+
+    kinds = [40, 9, 9, 9, 9, 9, 9, 41, 9, 43, 40, 41, 40]
+    rows = [(1, k + 1, t) for k, t in enumerate(kinds)]
+    out = activity_pairs(spark.createDataFrame(rows, "run_id long, event_id long, event_type int")).collect()
+    assert sorted(tuple(r)[1:] for r in out if r.scheduled_id < 11) == [(1, 8, 10)]
+    assert {r.scheduled_id: (r.started_id, r.closed_id) for r in out if r.scheduled_id > 10} == {11: (12, None), 13: (None, None)}
