@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the documents contracts: runs of anything but ASCII white space.
@@ -43,6 +43,11 @@ def with_ids(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "l
     return big.join(small, key, how)
 
 
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """row, a struct of all columns, beside keys: a join on the keys can't meet columns of the same name."""
+    return df.select(F.struct(F.col("*")).alias("row"), *(k.alias(n) for n, k in keys.items()))
+
+
 def arrow_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts hold max_bytes at most, or one text."""
     offsets = text_buffer(batch.column(column))[1]
@@ -57,7 +62,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a text column; nulls become empty."""
     if column.null_count:
         column = column.fill_null("")
-    if pa.types.is_large_string(column.type):
+    if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         wide = np.int64
     elif pa.types.is_string(column.type):
         wide = np.int32

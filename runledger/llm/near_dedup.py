@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import arrow_slices, cut, text_buffer, with_ids
 
 BANDS, ROWS = 28, 6
+#: Bytes of text that a task looks at together, or one text.
+SLICE = 1 << 20
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 #: Fixed random values of the bytes, A-Z as a-z: the hashes must agree between tasks and runs.
@@ -36,13 +38,16 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        n = max(n, (2 << 20) + 1)
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[0] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[0]
+    """Powers of the base and of its inverse modulo 2**64; only those for slices of common size are kept."""
+    if _POWERS and len(_POWERS[0][0]) >= n:
+        return _POWERS[0]
+    size = max(n, SLICE + 2)
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    found = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if size == SLICE + 2:
+        _POWERS[0] = found
+    return found
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -121,7 +126,7 @@ def band_keys(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        for low, high in arrow_slices(batch, "text"):
+        for low, high in arrow_slices(batch, "text", SLICE):
             sets = shingle_sets(data, offsets[low : high + 1], width)
             keys = [band_keys(signature(s, bands * rows), bands) if len(s) else np.empty(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -145,7 +150,7 @@ def sketches(docs: DataFrame, width: int = 3, bands: int = BANDS, rows: int = RO
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        for low, high in arrow_slices(batch, "text"):
+        for low, high in arrow_slices(batch, "text", SLICE):
             found = [s.view(np.int64) for s in shingle_sets(data, offsets[low : high + 1], width)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 

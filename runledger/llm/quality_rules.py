@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, cut
+from .common import BROADCAST_ROWS, SPACE, cut, packed
 
 #: Bounds of the learner: labelled documents, thresholds a feature, rules, conditions a rule, documents a rule must cover.
 MAX_LABELLED, BINS, MAX_RULES, MAX_CONDITIONS, SUPPORT = 20_000, 24, 8, 3, 6
@@ -217,10 +217,10 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that quality() keeps, once each, with all their columns.
 
     Rows are matched by doc_id and a fingerprint of the text, on which alone the verdict depends."""
-    key = [F.col("doc_id").cast("bigint").alias("key_id"), F.xxhash64(F.col("text").cast("string")).alias("key_text")]
-    rows = features(cut(statistics(docs, key[1])))
+    mark = F.xxhash64(F.col("text").cast("string"))
+    rows = features(cut(statistics(docs, mark.alias("key_text"))))
     good = ~F.coalesce(base_failed(), F.lit(True)) & (verdict(learn(rows, labels)) == 0)
-    gone = cut(rows.where(~good).select(F.col("doc_id").alias("key_id"), "key_text").distinct())
+    gone = cut(rows.where(~good).select(F.col("doc_id").alias("gone_id"), F.col("key_text").alias("gone_text")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    same = key[0].eqNullSafe(gone["key_id"]) & (key[1] == gone["key_text"])
-    return docs.join(gone, same, "left_anti")
+    all_ = packed(docs, key_id=F.col("doc_id").cast("bigint"), key_text=mark)
+    return all_.join(gone, F.col("key_id").eqNullSafe(F.col("gone_id")) & (F.col("key_text") == F.col("gone_text")), "left_anti").select("row.*")

@@ -3,9 +3,10 @@
 Every source gets a target of words; target / size is the rate at which its documents are taken. The whole part of
 the rate is taken of every document, and the fraction is an inclusion probability. The flight phase moves the
 probabilities of three documents at a time along the null space of two constraints (words and documents taken),
-until one of them is 0 or 1. It runs on chunks of CHUNK documents; the two that a chunk leaves undecided meet again
-in chunks of the next level, until one chunk a source is left. Its last two are landed with the constraint on words
-only, the last one by its own probability. Chunks depend on keys alone, so reruns agree.
+until one of them is 0 or 1. It runs on chunks of CHUNK documents, the largest first; the two that a chunk leaves
+undecided meet again in chunks of the next level, until one chunk a source is left. Its last two and RESERVE
+documents, from large to small, are landed by the rounding that leaves the words nearest to their target: there, the
+totals go before the probabilities. Chunks depend on keys alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, cut
+from .common import BROADCAST_ROWS, SPACE, cut, packed
 
-CHUNK = 4096
+#: Units that fly together, and units of a source, from large to small, that are kept for its landing.
+CHUNK, RESERVE = 4096, 14
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 _EPS = 1e-9
@@ -66,12 +68,23 @@ def _move(p: list[float], units: list[int], u: list[float], chance: float) -> No
         p[i] = 0.0 if x < _EPS else 1.0 if x > 1 - _EPS else x
 
 
+def _spread(sizes: list[float], units: list[int]) -> list[int]:
+    """RESERVE of the units at most, each about half as large as the one before: subsets of them have all sorts of totals."""
+    out: list[int] = []
+    for i in sorted(units, key=lambda k: -sizes[k]):
+        if len(out) < RESERVE and (not out or sizes[i] <= sizes[out[-1]] / 2):
+            out.append(i)
+    rest = [i for i in reversed(units) if i not in set(out)]
+    return out + rest[: RESERVE - len(out)]
+
+
 def fly(sizes: list[float], counts: list[float], p: list[float], seeds: list[int], land: bool) -> list[float]:
-    """The flight phase over units with these words and documents; land: also the landing of the last two."""
+    """The flight phase over units with these words and documents; land: also the landing of the two left
+    at most and of RESERVE units."""
     p, held = list(p), []
-    for i in range(len(p)):
-        if not 0 < p[i] < 1:
-            continue
+    open_ = [i for i in range(len(p)) if 0 < p[i] < 1]
+    reserve = _spread(sizes, open_) if land else []
+    for i in sorted(set(open_) - set(reserve)):
         held.append(i)
         while len(held) == 3:
             a, b, c = held
@@ -80,22 +93,22 @@ def fly(sizes: list[float], counts: list[float], p: list[float], seeds: list[int
             u = [x / top for x in u] if top else [counts[b] / (counts[a] + counts[b]), -counts[a] / (counts[a] + counts[b]), 0.0]
             _move(p, held, u, _uniform(seeds[i]))
             held = [k for k in held if 0 < p[k] < 1]
-    if land and len(held) == 2:
-        a, b = held
-        top = max(sizes[a], sizes[b])
-        u = [sizes[b] / top, -sizes[a] / top] if top else [1.0, -1.0]
-        _move(p, held, u, _uniform(seeds[a] ^ seeds[b]))
-        held = [k for k in held if 0 < p[k] < 1]
-    if land:
-        for k in held:
-            p[k] = float(_uniform(seeds[k] + 1) < p[k])
+    if land and open_:
+        # The landing problem: of all roundings of the units left, the one that leaves the words nearest to their total,
+        # then the documents.
+        left = held + reserve
+        bits = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(np.float64)
+        off = [np.abs((bits - [p[k] for k in left]) @ np.array([x[k] for k in left])) for x in (sizes, counts)]
+        for k, v in zip(left, bits[np.lexsort((off[1], off[0]))[0]].tolist(), strict=True):
+            p[k] = v
     return p
 
 
 def _flight(land: bool):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seed", "doc_id", "size"], kind="stable", na_position="last")
         total = pdf["size"].to_numpy("float64") * pdf["n"].to_numpy("float64")
+        pdf = pdf.assign(total=-total).sort_values(["total", "seed", "doc_id", "size"], kind="stable", na_position="last")
+        total = -pdf.pop("total").to_numpy("float64")
         pdf["p"] = fly(total.tolist(), pdf["n"].astype("float64").tolist(), pdf["p"].tolist(), pdf["seed"].tolist(), land)
         return pdf
 
@@ -142,15 +155,22 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of docs."""
+    """doc_id, size, source_size, target, taken of every row of docs.
+
+    Null texts have size 0 and are taken 0 words; null sources are one source; repeated rows count each; an empty table
+    gives an empty result. Other columns are ignored."""
     mix = mixture(docs).withColumn("one", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    chosen = cut(mixture(docs).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "copies"))
+    """The rows of docs, each as often as the mix takes it: never, once or twice.
+
+    Null texts count as empty and are taken as their source's rate and the balance say; null doc_ids and sources are
+    values of their own; rows that agree in doc_id, source and size share their fate; an empty table stays empty. Other
+    columns are kept, whatever their names."""
+    chosen = cut(mixture(docs).where("copies > 0").select("doc_id", "source", "size", "copies"))
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("mix_id")) & docs["source"].cast("string").eqNullSafe(F.col("mix_source")) & (word_count() == F.col("mix_size"))
-    rows = docs.join(chosen, same).withColumn("mix_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*[docs[c] for c in docs.columns])
+    rows = packed(docs, key_id=F.col("doc_id").cast("bigint"), key_source=F.col("source").cast("string"), key_size=word_count())
+    same = F.col("key_id").eqNullSafe(F.col("doc_id")) & F.col("key_source").eqNullSafe(F.col("source")) & (F.col("key_size") == F.col("size"))
+    return rows.join(chosen, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

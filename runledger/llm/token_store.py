@@ -25,14 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, shared_dir
+from .common import arrow_slices, shared_dir, text_buffer
 
 BLOCK, PERCENTILE, SHARD = 128, 0.9, 1 << 18
 MAGIC = b"PFOR1\0\0\0"
 END = 0
-CACHE = 800_000
-#: Bytes of text that are encoded together, or one text.
-SLICE = 8 << 20
+#: Bytes of text that are encoded together, or one text; bytes of chunks and ids that a worker remembers.
+SLICE, CACHE_BYTES = 8 << 20, 32 << 20
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -121,14 +120,29 @@ def from_shard(shard: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if x else d for d, x in zip(ids, null, strict=True)], lengths, unpack(index, body, count)
 
 
+#: Classes of bytes by which texts are cut: 1 letters, 2 digits, 3 other visible ASCII but ', 4 white space but the blank,
+#: 5 the blank, 0 all else; and the bytes that begin a character that certainly isn't white space.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[39] = 0
+_CLASS[9:14] = 4
+_CLASS[32] = 5
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[[*range(33, 127), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
+
+
 class Encoder:
     """Encodes whole texts with a file of the tokenizers library.
 
-    A single space before a character that isn't white space always begins a piece of byte-level BPE's pre-tokenizer,
-    so a text's ids are those of its space-separated chunks. The different chunks of a batch are looked up among those
-    seen before (CACHE of them at most) and their ids gathered by array operations. New chunks are encoded as one text,
-    whose ids are dealt back by the bytes that each id stands for; where the ends don't fall on chunk ends, and for
-    texts with other spacing, each text is encoded on its own."""
+    Byte-level BPE's pre-tokenizer always begins a new piece at some places: between letters, digits and signs, before
+    white space, before the last white space of several, and after white space that isn't a blank. Texts are cut there
+    (where only ASCII, or bytes that can't be white space, are at hand to tell), so a text's ids are those of its
+    chunks. The different chunks of a batch are looked up among those seen before (CACHE_BYTES of them at most) and
+    their ids gathered by array operations. New chunks without white space are encoded as one text of lines, whose ids
+    are dealt back by the bytes that each id stands for; where the ends don't fall on line ends, and for other chunks,
+    each is encoded on its own."""
 
     def __init__(self, path: str, by_chunk: bool = True):
         from tokenizers import Tokenizer
@@ -139,67 +153,102 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, k in vocabulary.items():
             self.bytes_of[k] = len(token)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
         self._forget()
 
     def _forget(self) -> None:
-        """Seen chunks have numbers; number 0, without ids, is that of all that can't be encoded by themselves."""
-        self.known: dict[str, int] = {}
-        self.ends, self.ids = np.zeros(2, np.int32), np.empty(0, np.uint32)
+        self.keys = pa.array([], pa.binary())
+        self.ends, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and their number in each."""
         found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate(found or [np.empty(0, np.uint32)]), np.array([len(f) for f in found], np.int64)
 
-    def _spaced(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same of chunks, each after a space."""
-        ids = np.array(self.library.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum([len(c.encode("utf-8", "replace")) + 1 for c in chunks])
+    def _lines(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of chunks without white space but a leading blank."""
+        texts = chunks.to_pylist()
+        ids = np.array(self.library.encode_batch_fast([b"\n".join(texts).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(pc.binary_length(chunks).to_numpy().astype(np.int64) + 1)
         at = np.cumsum(self.bytes_of[ids])
-        cut = np.searchsorted(at, ends)
-        if not len(at) or at[-1] != ends[-1] or (at[cut] != ends).any():
-            return self._plain([" " + c for c in chunks])
-        return ids, np.diff(np.concatenate(([-1], cut)))
-
-    def _numbers(self, chunks: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE:
-            self._forget()
-        known = self.known
-        unseen = [c for c, k in zip(chunks, map(known.get, chunks), strict=True) if k is None]
-        known.update(dict.fromkeys((c for c in unseen if not c or c[0].isspace()), 0))
-        new = [c for c in unseen if c and not c[0].isspace()]
-        if new:
-            ids, count = self._spaced(new)
-            known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(count, dtype=np.int32)))
-            self.ids = np.concatenate((self.ids, ids))
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+        cut = np.searchsorted(at, ends - 1)  # the last id of each chunk; that of the line end follows
+        if not len(at) or at[-1] != ends[-1] - 1 or (at[cut] != ends - 1).any() or (at[cut[:-1] + 1] != ends[:-1]).any():
+            return self._plain([t.decode("utf-8", "replace") for t in texts])
+        inside = np.ones(len(ids), bool)
+        inside[cut[:-1] + 1] = False
+        return ids[inside], np.diff(cut, prepend=-1) - (np.arange(len(cut)) > 0)
+
+    def _learn(self, chunks: pa.Array) -> np.ndarray:
+        """Adds new chunks to those known and returns their numbers."""
+        data, offsets = text_buffer(chunks.cast(pa.large_binary()))
+        low = int(offsets[0])
+        data, offsets = data[low : int(offsets[-1])], offsets - low
+        odd = np.zeros(len(data) + 1, np.int64)
+        hidden = (data < 0x80) | (data >= 0xC0)  # bytes that continue a character don't count
+        np.cumsum(~_VISIBLE[data] & hidden, out=odd[1:])
+        count, first = np.diff(odd[offsets]), data[offsets[:-1]]
+        plain = count == ((first == 32) & (np.diff(offsets) > 1))
+        parts = [(self._lines, pa.array(plain)), (lambda c: self._plain([t.decode("utf-8", "replace") for t in c.to_pylist()]), pa.array(~plain))]
+        for encode, mask in parts:
+            some = chunks.filter(mask)
+            if len(some):
+                ids, n = encode(some)
+                self.keys = pa.concat_arrays([self.keys, some])
+                self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(n)))
+                self.ids = np.concatenate((self.ids, ids))
+        number = np.empty(len(chunks), np.int64)
+        number[np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))] = np.arange(len(self.keys) - len(chunks), len(self.keys))
+        return number
+
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where chunks begin."""
+        kind, visible = _CLASS[data], _VISIBLE[data]
+        blank, word = kind >= 4, (kind > 0) & (kind < 4)
+        cut = np.zeros(len(data), bool)
+        cut[1:] = (word[:-1] & word[1:] & (kind[:-1] != kind[1:])) | (word[:-1] & blank[1:]) | ((kind[:-1] == 4) & visible[1:])
+        visible[offsets[:-1][offsets[:-1] < len(data)]] = False  # what follows in another text doesn't count
+        cut[1:-1] |= blank[1:-1] & visible[2:]
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(cut)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (no nulls) and their number in each."""
-        if not self.by_chunk or not len(texts):
+        if not self.by_chunk:
             return self._plain(texts.to_pylist())
-        split = pc.split_pattern(texts, " ")
-        chunks, sizes = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
-        head = np.cumsum(sizes) - sizes
-        later = np.ones(len(chunks), bool)
-        later[head] = False
-        rest = chunks.filter(pa.array(later)).dictionary_encode()
-        number = np.empty(len(chunks), np.int64)
-        number[later] = self._numbers(rest.dictionary.to_numpy(zero_copy_only=False).tolist())[rest.indices.to_numpy()]
-        number[head] = len(self.ends) - 1 + np.arange(len(texts))
-        # A text's first chunk has no space before it; of a text with other spacing, the whole takes its place.
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        alone = np.unique(owner[number == 0])
-        number[np.isin(owner, alone) & later] = 0
-        firsts = chunks.take(pa.array(head)).to_pylist()
-        for k in alone.tolist():
-            firsts[k] = texts[k].as_py()
-        ids, count = self._plain(firsts)
-        ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(count, dtype=np.int32)))
-        found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate((self.ids, ids)))).take(pa.array(number))
-        stop = found.offsets.to_numpy()[head + sizes].astype(np.int64)
-        return found.flatten().to_numpy(), np.diff(stop, prepend=0)
+        whole = np.zeros(len(texts), bool)  # texts that hold a token which the library looks for before it cuts
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_chunk(texts)
+        both = self._by_chunk(texts.filter(pa.array(~whole))), self._plain(texts.filter(pa.array(whole)).to_pylist())
+        count = np.empty(len(texts), np.int64)
+        count[~whole], count[whole] = both[0][1], both[1][1]
+        ids, of = np.empty(count.sum(), np.uint32), np.repeat(whole, count)
+        ids[~of], ids[of] = both[0][0], both[1][0]
+        return ids, count
+
+    def _by_chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = text_buffer(texts)
+        low = int(offsets[0])
+        data, offsets = data[low : int(offsets[-1])], offsets - low
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        starts = self._starts(data, offsets)
+        places = np.append(starts, len(data)).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        if self.keys.nbytes + self.ids.nbytes + self.ends.nbytes > CACHE_BYTES:
+            self._forget()
+        number = pc.index_in(chunks.dictionary, value_set=self.keys)
+        new = number.is_null()
+        number = number.fill_null(0).to_numpy().astype(np.int64)
+        if number.size and pc.any(new).as_py():
+            number[new.to_numpy(zero_copy_only=False)] = self._learn(chunks.dictionary.filter(new))
+        number = number[chunks.indices.to_numpy()]
+        count = np.diff(self.ends)[number]
+        stop = np.cumsum(count)
+        ids = self.ids[np.repeat(self.ends[number] - (stop - count), count) + np.arange(stop[-1])]
+        before = np.concatenate(([0], stop))[np.searchsorted(starts, offsets)]
+        return ids, np.diff(before)
 
 
 _ENCODERS: dict[str, Encoder] = {}
