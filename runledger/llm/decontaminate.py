@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, packed
+from .common import BROADCAST_ROWS, cut, lean, packed
 
 WINDOW = 13
 BLOCK_WINDOWS = 200_000
@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     def searched(k: int) -> DataFrame:
         part = [(r.item_id, r.text) for r in items.where(block == k).collect()]  # about block_windows words
-        return rows.mapInArrow(lambda it: _search(it, part, window), schema)
+        return rows.mapInArrow(lean(lambda it: _search(it, part, window)), schema)
 
     if blocks == 1:
         return searched(0)
@@ -141,7 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         hits = hits.union(cut(searched(k).where("size(spans) > 0")))
     hits = hits.select("doc_id", "key_text", "spans", "items")
     all_ = hits.groupBy("doc_id", "key_text").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    all_ = cut(all_.mapInArrow(_joined, all_.schema)).toDF("hit_id", "hit_text", "spans", "items")
+    all_ = cut(all_.mapInArrow(lean(_joined), all_.schema)).toDF("hit_id", "hit_text", "spans", "items")
     all_ = F.broadcast(all_) if all_.count() <= BROADCAST_ROWS // 20 else all_
     out = base.join(all_, base["doc_id"].eqNullSafe(all_["hit_id"]) & (base["key_text"] == all_["hit_text"]), "left")
     none = [F.array().cast(SPANS), F.array().cast("array<bigint>")]

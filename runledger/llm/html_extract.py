@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 #: Rows up to which the choices between containers may be broadcast.
 BROADCAST_CHOICES = 50_000
@@ -180,7 +180,7 @@ def host(url: str = "url") -> Column:
 
 def choices(pages: DataFrame) -> DataFrame:
     """host, candidates, chosen (counted from 1) of the lists of candidates from which the votes choose another than the first."""
-    found = cut(pages.select(host().alias("host"), F.col("html").cast("string")).mapInArrow(_votes, "host string, candidates array<string>").where("size(candidates) > 0"))
+    found = cut(pages.select(host().alias("host"), F.col("html").cast("string")).mapInArrow(lean(_votes), "host string, candidates array<string>").where("size(candidates) > 0"))
     votes = found.groupBy("host", F.col("candidates")[0].alias("path")).agg(F.count("*").alias("votes"))
     open_ = found.where("size(candidates) > 1").distinct().select("host", "candidates", F.posexplode("candidates").alias("at", "path"))
     won = F.max_by(F.col("at") + 1, F.struct("votes", F.length("path"), -F.col("at"))).alias("chosen")
@@ -195,7 +195,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     chosen = cut(choices(pages))
     rows = pages.select("page_id", "url", F.col("html").cast("string"), host().alias("host"))
     kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, candidates array<string>, texts array<string>")
+    out = rows.mapInArrow(lean(_extract), f"page_id {kinds['page_id']}, url {kinds['url']}, host string, candidates array<string>, texts array<string>")
     if (n := chosen.count()) > 0:
         out = out.join(F.broadcast(chosen) if n <= BROADCAST_CHOICES else chosen, ["host", "candidates"], "left")
     else:

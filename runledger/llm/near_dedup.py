@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, cut, text_buffer, with_ids
+from .common import arrow_slices, cut, lean, text_buffer, with_ids
 
 BANDS, ROWS = 28, 6
 #: Bytes of text that a task looks at together, or one text.
@@ -143,7 +143,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int
 def sketches(docs: DataFrame, width: int = 3, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: set size, digest of the set, band keys."""
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        lambda it: _sketch(it, width, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"
+        lean(lambda it: _sketch(it, width, bands, rows)), "doc_id long, n_shingles long, set_key binary, bands array<long>"
     )
 
 
@@ -158,7 +158,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """doc_id and the full set of the documents in ids."""
     wanted = with_ids(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), ids, "doc_id")
-    return cut(wanted.mapInArrow(lambda it: _sets(it, width), "doc_id long, shingles array<long>"))
+    return cut(wanted.mapInArrow(lean(lambda it: _sets(it, width)), "doc_id long, shingles array<long>"))
 
 
 def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:

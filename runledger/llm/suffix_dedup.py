@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, cut, text_buffer, with_ids
+from .common import arrow_slices, cut, lean, text_buffer, with_ids
 from .near_dedup import mix64
 
 WIDTH, GRAM = 50, 24
@@ -432,21 +432,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         parted = cut(copies.join(mixed, "doc_id", "left_semi"))
         sha = F.sha2(F.col("text").cast("binary"), 256)
         rest = with_ids(rest.withColumn("sha", sha), parted, ["doc_id", "sha"], "left_anti").drop("sha")
-    marks = cut(rest.mapInArrow(lambda it: _fingerprints(it, buckets), "bucket long, ids binary, counts binary, marks binary, doc_id long"))
+    marks = cut(rest.mapInArrow(lean(lambda it: _fingerprints(it, buckets)), "bucket long, ids binary, counts binary, marks binary, doc_id long"))
     many = HOT
     met = marks.where("bucket is not null").select("bucket", "ids", "counts", "marks").groupBy("bucket").applyInPandas(lambda pdf: _meet(pdf, many), "doc_id long, kind string, marks binary")
     lists = cut(met.union(marks.where("bucket is null").select("doc_id", F.lit("whole"), "marks")))
     per = lists.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "marks")).alias("lists"))
     touched = cut(lists.select("doc_id").distinct())
     groups = max(8, (lists.where("kind <> 'whole'").agg(F.sum(F.octet_length("marks"))).first()[0] or 0) // 16 // BATCH_PIECES)
-    parts = with_ids(rest, touched, "doc_id").join(per, "doc_id").mapInArrow(lambda it: _cut_out(it, groups), "doc_id long, spans binary, batch long, minimizer long, start long, piece binary")
+    parts = with_ids(rest, touched, "doc_id").join(per, "doc_id").mapInArrow(lean(lambda it: _cut_out(it, groups)), "doc_id long, spans binary, batch long, minimizer long, start long, piece binary")
     parts = cut(parts)
     sorted_ = parts.where("batch is not null").select("doc_id", "batch", "minimizer", "start", "piece").groupBy("batch").applyInPandas(_sorted_batch, "doc_id long, spans binary")
     spans = cut(parts.where("spans is not null").select("doc_id", "spans").union(sorted_))
     losing = cut(spans.select("doc_id").distinct())
     removed = with_ids(rest, losing, "doc_id").join(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("all")), "doc_id")
     columns = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept_sha256 string"
-    removed = removed.mapInArrow(_remove, columns)
+    removed = removed.mapInArrow(lean(_remove), columns)
     span = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))
     none = F.slice(span, 1, 0)
     other = with_ids(base, losing, "doc_id", "left_anti") if losing.take(1) else base

@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, shared_dir, text_buffer
+from .common import arrow_slices, lean, shared_dir, text_buffer
 
 BLOCK, PERCENTILE, SHARD = 128, 0.9, 1 << 18
 MAGIC = b"PFOR1\0\0\0"
 END = 0
 #: Bytes of text that are encoded together, or one text; bytes of chunks and ids that a worker remembers.
-SLICE, CACHE_BYTES = 8 << 20, 32 << 20
+SLICE, CACHE_BYTES = 4 << 20, 32 << 20
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -298,7 +298,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     Rows of one doc_id are all kept, ordered by a hash of their text. Other columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    rows.select("doc_id", "text").mapInArrow(lambda it: _encode(it, tokenizer), "part long, seq long, n_docs long, n_tokens long, bytes binary").write.parquet(path)
+    rows.select("doc_id", "text").mapInArrow(lean(lambda it: _encode(it, tokenizer)), "part long, seq long, n_docs long, n_tokens long, bytes binary").write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -331,12 +331,12 @@ def _rows(digest: Callable[[bytes], int] | None) -> Callable[[Iterator[pa.Record
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of every document of a store."""
-    return read_shards(spark, path).select("start", "bytes").mapInArrow(_rows(None), "doc_id long, start long, n_tokens long, ids array<long>")
+    return read_shards(spark, path).select("start", "bytes").mapInArrow(lean(_rows(None)), "doc_id long, start long, n_tokens long, ids array<long>")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of a store."""
-    return read_shards(spark, path).select("start", "bytes").mapInArrow(_rows(zlib.crc32), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_shards(spark, path).select("start", "bytes").mapInArrow(lean(_rows(zlib.crc32)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
