@@ -230,7 +230,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
             owner = doc[run][np.cumsum(~again) - 1]
             copies = copies[doc[copies] > owner[copies]]
             copies = copies[np.argsort(doc[copies], kind="stable")]
-            out += [(None, None, None, both[copies[a:b]].tobytes(), int(doc[copies[a]])) for a, b in zip(*_edges(doc[copies]), strict=True)]
+            out += [(-1 - int(doc[copies[a]]) % buckets, None, None, both[copies[a:b]].tobytes(), int(doc[copies[a]])) for a, b in zip(*_edges(doc[copies]), strict=True)]
         h, doc, both = h[~again], doc[~again], both[~again]
         bucket = (h % _U(buckets)).astype(np.int64)
         order = np.lexsort((doc, bucket))
@@ -264,6 +264,8 @@ def _meet(pdf: pd.DataFrame, many: int) -> pd.DataFrame:
     """Of a bucket: per document the pieces that go whole, and those to be sorted (open, or hot), by fingerprint.
 
     many: the different pieces up to which a minimizer is not hot."""
+    if pdf["bucket"].iloc[0] < 0:
+        return pdf[["doc_id", "marks"]].assign(kind="whole")[["doc_id", "kind", "marks"]]
     both = np.concatenate([np.frombuffer(m, np.uint64) for m in pdf["marks"]]).reshape(-1, 2)
     doc = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.int64)) for i, c in zip(pdf["ids"], pdf["counts"], strict=True)])
     by_h = np.sort(both[:, 0])
@@ -432,10 +434,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         parted = cut(copies.join(mixed, "doc_id", "left_semi"))
         sha = F.sha2(F.col("text").cast("binary"), 256)
         rest = with_ids(rest.withColumn("sha", sha), parted, ["doc_id", "sha"], "left_anti").drop("sha")
-    marks = cut(rest.mapInArrow(lean(lambda it: _fingerprints(it, buckets)), "bucket long, ids binary, counts binary, marks binary, doc_id long"))
     many = HOT
-    met = marks.where("bucket is not null").select("bucket", "ids", "counts", "marks").groupBy("bucket").applyInPandas(lambda pdf: _meet(pdf, many), "doc_id long, kind string, marks binary")
-    lists = cut(met.union(marks.where("bucket is null").select("doc_id", F.lit("whole"), "marks")))
+    marks = rest.mapInArrow(lean(lambda it: _fingerprints(it, buckets)), "bucket long, ids binary, counts binary, marks binary, doc_id long")
+    lists = cut(marks.groupBy("bucket").applyInPandas(lambda pdf: _meet(pdf, many), "doc_id long, kind string, marks binary"))
     per = lists.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "marks")).alias("lists"))
     touched = cut(lists.select("doc_id").distinct())
     groups = max(8, (lists.where("kind <> 'whole'").agg(F.sum(F.octet_length("marks"))).first()[0] or 0) // 16 // BATCH_PIECES)
