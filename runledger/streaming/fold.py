@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import ns
-
-
-def folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{uuid.uuid4().hex}"
+from ..store import new_folder
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -26,7 +19,7 @@ def streamed_fold(spark: SparkSession, source: str, per_batch: int = 1) -> DataF
     """Reads a folder of event files as a stream, keeps the fold in the state store, and returns its final state.
 
     Each run's newest state wins, so a batch that is written twice after a failure changes nothing."""
-    out, state = folder(spark), folder(spark)
+    out, state = new_folder(spark), new_folder(spark)
     events = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", per_batch).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
