@@ -12,7 +12,9 @@ EVENT_CODES = {"signup": 9, "click": 40, "view": 41, "purchase": 42, "error": 43
 
 
 def ns(ts: str) -> Column:
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ)) * 1000")
+    """Nanoseconds since 1970 of a time without zone, whatever the session's zone."""
+    t = f"CAST({ts} AS TIMESTAMP_NTZ)"
+    return F.expr(f"(unix_date(CAST({t} AS DATE)) * 86400000000L + (hour({t}) * 3600L + minute({t}) * 60L) * 1000000L + CAST(extract(SECOND FROM {t}) * 1000000 AS BIGINT)) * 1000L")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +41,10 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.create_map(*(F.lit(x) for kv in EVENT_CODES.items() for x in kv))[F.col("event_type")]
-    order = F.expr("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)").cast("bigint")
-    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), order.alias("event_id"), F.col("event_id").alias("source_id"), code.alias("event_type"), ns("ts").alias("event_time"), "value", "props")
+    # run_id is named before the window, so that later windows and joins on it reuse its partitions
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("source_id"), code.alias("event_type"), "ts", "value", "props")
+    order = F.expr("row_number() OVER (PARTITION BY run_id ORDER BY ts, source_id)").cast("bigint")
+    return rows.select("run_id", order.alias("event_id"), "source_id", "event_type", ns("ts").alias("event_time"), "value", "props")
 
 
 def timers(spark: SparkSession, sf_dir: str) -> DataFrame:

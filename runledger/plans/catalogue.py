@@ -14,7 +14,7 @@ from .. import fixtures
 
 #: Fixed points in time: 2024-01-10, and a day, in nanoseconds.
 NOW, DAY = 1704844800000000000, 86400000000000
-#: Bounds of the request latency histogram in seconds.
+#: Bounds of the request latency histogram in seconds.
 BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 _BOUNDS = " UNION ALL ".join(f"SELECT CAST({b} AS DOUBLE) AS le" for b in BOUNDS)
 

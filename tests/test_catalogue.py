@@ -90,3 +90,60 @@ def test_activity_pairs_beyond_five_events(spark):
     out = activity_pairs(spark.createDataFrame(rows, "run_id long, event_id long, event_type int")).collect()
     assert sorted(tuple(r)[1:] for r in out if r.scheduled_id < 11) == [(1, 8, 10)]
     assert {r.scheduled_id: (r.started_id, r.closed_id) for r in out if r.scheduled_id > 10} == {11: (12, None), 13: (None, None)}
+
+
+def test_times_do_not_move_with_the_session(spark, sf_dir):
+    from runledger import fixtures
+
+    here = sorted(fixtures.requests(spark, sf_dir).limit(50).select("request_id", "at_ns").collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert sorted(fixtures.requests(spark, sf_dir).limit(50).select("request_id", "at_ns").collect()) == here
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_page_tokens(spark, sf_dir):
+    from runledger import fixtures
+    from runledger.operators.reads import list_executions, page_size
+
+    assert [page_size(x) for x in (None, 0, -1, 5, 5000)] == [100, 100, 100, 5, 1000]
+    runs = fixtures.executions(spark, sf_dir)
+    _, token = list_executions(runs, {"status": 1}, 10)
+    with pytest.raises(ValueError, match="other filters"):
+        list_executions(runs, {"status": 0}, 10, token)
+
+
+def test_pending_timers_of_a_stream_equal_the_batch(spark, sf_dir):
+    from runledger import histories
+    from runledger.operators import state
+    from runledger.streaming.timers import streamed_timers
+
+    h = histories.histories(spark, sf_dir).where("substring(run_id, 5, 9) % 3 = 0")
+    got = sorted(map(tuple, streamed_timers(spark, h).collect()))
+    assert got == sorted(map(tuple, state.desired_timers(h).where("kind in (0, 2)").collect())) and got
+
+
+def test_uuids_and_words(spark):
+    import uuid
+
+    from runledger.functions import random
+
+    def word(seed, n):
+        x = (seed + n * random.GAMMA) % 2**64
+        x = (x ^ x >> 30) * random.MIX_1 % 2**64
+        x = (x ^ x >> 27) * random.MIX_2 % 2**64
+        return (x ^ x >> 31) >> 1
+
+    rows = spark.createDataFrame([(42, n) for n in range(1, 6)], "seed long, n long").select("n", random.random_word("seed", "n").alias("w"), random.random_uuid("seed", "n").alias("u"))
+    stream = [word(42 ^ random.UUID_SALT, k // 7 + 1) >> 8 * (k % 7) & 255 for k in range(80)]
+    for r in rows.collect():
+        assert r.w == word(42, r.n) and r.u == str(uuid.UUID(bytes=bytes(stream[16 * r.n - 16 : 16 * r.n]), version=4))
+
+
+def test_chains_of_many_runs(spark):
+    from runledger.operators.state import chains
+
+    rows = [(f"r{i}", 1, 1, None) for i in range(40)] + [(f"r{i}", 2, 7, f"r{i + 1}") for i in range(36)] + [("r39", 2, 7, "gone")]
+    out = {r.run_id: (r.link, r.head, r.last) for r in chains(spark.createDataFrame(rows, "run_id string, event_id long, event_type int, name string")).collect()}
+    assert out == {f"r{i}": (i, "r0", "r36") for i in range(37)} | {f"r{i}": (0, f"r{i}", f"r{i}") for i in (37, 38, 39)}
