@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import cut, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "arrow_slices", "cut", "lean", "packed", "shared_dir", "table", "text_buffer", "with_ids"]
+
 #: Words of the documents contracts: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows up to which a side of one or two long columns may be broadcast (16 bytes a row: 16 MB).
@@ -23,22 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def with_ids(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """Joins big with a cut table of keys: by broadcast up to BROADCAST_ROWS rows, by shuffle beyond."""
     small = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

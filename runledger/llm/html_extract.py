@@ -19,9 +19,12 @@ from .common import cut, lean
 
 #: Rows up to which the choices between containers may be broadcast.
 BROADCAST_CHOICES = 50_000
+#: The attributes of a tag: a quoted value may hold anything, where its quote is closed; all else ends at < or >. Nothing is
+#: tried twice, and no attempt reads far beyond the tag, so a page is read in linear time whatever it holds.
+_ATTRIBUTES = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^<>])*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object)\b(?>" + _ATTRIBUTES + r")>.*?(?:</\1\s*+>|\Z)|<[!?][^<>]*+>?"
+    r"|<(/?)([a-zA-Z][\w:-]*+)(" + _ATTRIBUTES + r")>?",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -48,14 +51,41 @@ def _name(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *kept]), waste
 
 
-def blocks(page: str) -> list[tuple[str, str, int, bool]]:
+Block = tuple[int, str, int, bool]
+
+
+class Paths:
+    """Generalised paths of a page's containers, by number; 0 is the page itself. Containers of one path share a number."""
+
+    def __init__(self) -> None:
+        self.up, self.step = [0], [""]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def under(self, up: int, step: str) -> int:
+        at = self._known.setdefault((up, step), len(self.up))
+        if at == len(self.up):
+            self.up.append(up)
+            self.step.append(step)
+        return at
+
+    def text(self, at: int) -> str:
+        steps = []
+        while at:
+            steps.append(self.step[at])
+            at = self.up[at]
+        return "".join("/" + x for x in reversed(steps))
+
+
+def blocks(page: str) -> tuple[Paths, list[Block]]:
     """(path of the container, text, characters inside links, in a paragraph) of the page's blocks, without waste.
 
     What a class, id or role marks is no waste where it holds the page's heading, <main> or first <article>, or where nothing else is left."""
-    out: list[tuple[str, str, int, bool, tuple[int, ...]]] = []
-    stack: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, ())]  # tag, path of the innermost container, within a skipped tag, marked elements around
-    content: set[int] = set()  # marked elements that hold the page's heading, <main> or first <article>
-    marked, articles = 0, 0
+    paths = Paths()
+    out: list[tuple[int, str, int, bool, int]] = []
+    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, path of the innermost container, within a skipped tag, innermost marked element
+    open_: dict[str, int] = {}  # how often a tag is in the stack
+    around, content = [0], {0}  # the marked element around each; those that hold the page's heading, <main> or first <article>
+    articles = 0
     pieces: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -66,6 +96,11 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
             out.append((stack[-1][1], text, linked, any(t[0] in ("p", "pre", "h1", "h2", "h3", "li") for t in stack[-3:]), stack[-1][3]))
         pieces, linked = [], 0
 
+    def pop(k: int) -> None:
+        for t in stack[k:]:
+            open_[t[0]] -= 1
+        del stack[k:]
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             pieces.append(page[at : m.start()])
@@ -82,12 +117,12 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         if m[2]:
             if tag == "a":
                 in_link = False
-            for k in range(len(stack) - 1, 0, -1):
+            if open_.get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag and (tag in _BLOCK or stack[k][0] not in _BLOCK):
+                    k -= 1
                 if stack[k][0] == tag:
-                    if tag not in _BLOCK and any(t[0] in _BLOCK for t in stack[k + 1 :]):
-                        break
-                    del stack[k:]
-                    break
+                    pop(k)
             continue
         if tag in _VOID:
             continue
@@ -96,69 +131,84 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
             end = _LINK.search(page, at)
             in_link = end is not None and end[1] == "/"
         if tag in _ENDS_P and stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li":
-            stack.pop()
-        elif tag in _BLOCK:
+            pop(len(stack) - 1)
+        elif tag in _BLOCK and open_.get("p"):
             # a new block ends open inline elements and the paragraph around them
             k = len(stack) - 1
             while k > 0 and stack[k][0] not in _BLOCK:
                 k -= 1
             if k > 0 and stack[k][0] == "p":
-                del stack[k:]
+                pop(k)
         step, waste = _name(tag, m[4])
-        _, path, skipped, around = stack[-1]
+        _, path, skipped, mark = stack[-1]
         if waste:
-            marked += 1
-            around = (*around, marked)
+            around.append(mark)
+            mark = len(around) - 1
         articles += tag == "article" and not skipped
         if not skipped and (tag in _CONTENT or tag == "article" and articles == 1):
-            content.update(around)
-        stack.append((tag, f"{path}/{step}" if tag in _CONTAINER else path, skipped or tag in _SKIP, around))
+            up = mark
+            while up not in content:
+                content.add(up)
+                up = around[up]
+        stack.append((tag, paths.under(path, step) if tag in _CONTAINER else path, skipped or tag in _SKIP, mark))
+        open_[tag] = open_.get(tag, 0) + 1
     if at < len(page):
         pieces.append(page[at:])
     flush()
-    kept = [b[:4] for b in out if content.issuperset(b[4])]
-    return kept or [b[:4] for b in out]
+    fine = [True]
+    for mark in range(1, len(around)):  # what is around a marked element has a smaller number
+        fine.append(mark in content and fine[around[mark]])
+    kept = [b[:4] for b in out if fine[b[4]]]
+    return paths, kept or [b[:4] for b in out]
 
 
-def scores(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
+def scores(paths: Paths, found: list[Block]) -> dict[int, float]:
     """Score of each container path: characters of its own blocks outside links, paragraphs in full, other blocks a quarter;
     half of them also count for the container around it. Where links leave no points, their characters count as well."""
-    return _scores(found, 2) or _scores(found, 0)
+    return _scores(paths, found, 2) or _scores(paths, found, 0)
 
 
-def _scores(found: list[tuple[str, str, int, bool]], penalty: int) -> dict[str, float]:
-    out: dict[str, float] = {}
+def _scores(paths: Paths, found: list[Block], penalty: int) -> dict[int, float]:
+    out: dict[int, float] = {}
     for path, text, linked, paragraph in found:
         worth = max(0, len(text) - penalty * linked) * (1.0 if paragraph else 0.25)
-        last = path.rpartition("/")[2]
-        worth *= 1.5 if last.startswith(("article", "main")) else 1.0
+        worth *= 1.5 if paths.step[path].startswith(("article", "main")) else 1.0
         out[path] = out.get(path, 0.0) + worth
-        around = path.rpartition("/")[0]
+        around = paths.up[path]
         if around:
             out[around] = out.get(around, 0.0) + worth / 2
     return {p: x for p, x in out.items() if x > 0}
 
 
-def main_text(found: list[tuple[str, str, int, bool]], path: str) -> str:
+def main_text(paths: Paths, found: list[Block], path: int) -> str:
     """The blocks of the innermost article around the container at the path, else of main, else of the container."""
-    steps = path.split("/")
+    chain = [path]
+    while chain[-1]:
+        chain.append(paths.up[chain[-1]])
     for kind in ("article", "main"):
-        inner = max((k for k, x in enumerate(steps) if x.partition(".")[0] == kind), default=None)
+        inner = next((p for p in chain if paths.step[p].partition(".")[0] == kind), None)
         if inner is not None:
-            path = "/".join(steps[: inner + 1])
+            path = inner
             break
-    return "\n\n".join(text for at, text, _, _ in found if at == path or at.startswith(path + "/"))
+    inside = [p == path for p in range(len(paths.up))]
+    for p in range(1, len(inside)):  # a path is numbered after the one around it
+        inside[p] = inside[p] or inside[paths.up[p]]
+    return "\n\n".join(text for at, text, _, _ in found if inside[at])
 
 
-def _candidates(points: dict[str, float]) -> list[str]:
-    """The paths that hold most of the best score, the best first."""
+def _candidates(paths: Paths, points: dict[int, float]) -> list[tuple[str, int]]:
+    """The paths that hold most of the best score, the best first, with their numbers."""
     top = max(points.values(), default=0.0)
-    return sorted((p for p, x in points.items() if x > top / 2), key=lambda p: (-points[p], -len(p), p))
+    named = [(paths.text(p), p, x) for p, x in points.items() if x > top / 2]
+    return [(text, p) for text, p, x in sorted(named, key=lambda c: (-c[2], -len(c[0]), c[0]))]
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_candidates(scores(blocks(h.as_py() or ""))) for h in batch.column("html")]
+        found = []
+        for h in batch.column("html"):
+            paths, parts = blocks(h.as_py() or "")
+            found.append([text for text, _ in _candidates(paths, scores(paths, parts))])
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.string()))], ["host", "candidates"])
 
 
@@ -166,9 +216,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         candidates, texts = [], []
         for h in batch.column("html"):
-            found = blocks(h.as_py() or "")
-            candidates.append(_candidates(scores(found)))
-            texts.append([main_text(found, path) for path in candidates[-1]])
+            paths, found = blocks(h.as_py() or "")
+            best = _candidates(paths, scores(paths, found))
+            candidates.append([text for text, _ in best])
+            texts.append([main_text(paths, found, p) for _, p in best])
         names = [n for n in batch.schema.names if n != "html"]
         arrays = [pa.array(x, pa.list_(pa.string())) for x in (candidates, texts)]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *arrays], [*names, "candidates", "texts"])

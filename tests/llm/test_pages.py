@@ -139,3 +139,25 @@ def test_extract_follows_the_votes_between_like_containers(spark):
     pages = [f"<body>{a.format('x' * 90)}</body>"] * 5 + [f"<body>{a.format('y' * 60)}{b.format('z' * 70)}</body>"]
     out = {r.page_id: r for r in html_extract.extracted(spark.createDataFrame([(k, "https://one.example/", h, "") for k, h in enumerate(pages)], PAGE)).collect()}
     assert out[5].path == "/body/div.a" and out[5].text == "y" * 60
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    from runledger.llm import html_extract
+
+    pages = ['<a "' * 100_000, "<script " * 60_000, '<a ="' * 100_000, "<div>" * 50_000 + "x", '<div class="ad">' * 30_000 + "text", "<" * 400_000, "<div>" * 20_000 + "</x>" * 20_000, "<p>" + "<span>" * 30_000 + "<p>" * 10_000]
+    began = time.time()
+    for page in pages:
+        paths, found = html_extract.blocks(page)
+        html_extract._candidates(paths, html_extract.scores(paths, found))
+    assert time.time() - began < 20
+
+
+def test_unclosed_quotes_are_no_text():
+    from runledger.llm import html_extract
+
+    page = '<article><p>Some <a href="x>oops and more text here</p><p title="a < b > c">two</p><img alt="<b>"><p>three</p><p class="end'
+    paths, found = html_extract.blocks(page.replace('"x>', "'x>"))
+    best = html_extract._candidates(paths, html_extract.scores(paths, found))
+    assert html_extract.main_text(paths, found, best[0][1]) == "Some oops and more text here\n\ntwo\n\nthree"
