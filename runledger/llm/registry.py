@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html_extract, license_scan, line_dedup, warc_audit
-from .common import table
+from .common import shared_dir, table
 from .decontaminate import judged
 from .near_dedup import near_duplicates
 from .quality_rules import quality
@@ -21,8 +22,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc_audit.index_of(table(spark, sf_dir, "pages"))
-    return warc_audit.audit(index, warc_audit.aged(index))
+    """Both replicas are written as WARC files, one of them decayed, and hashed as they are read back."""
+    archives, folders = warc_audit.archive(table(spark, sf_dir, "pages")), [f"{shared_dir(spark)}/{uuid.uuid4().hex}" for _ in "ab"]
+    for rows, folder in zip((archives, warc_audit.decayed(archives)), folders, strict=True):
+        warc_audit.write_warc(rows, folder)
+    return warc_audit.audit(*(warc_audit.index_of(spark, folder) for folder in folders))
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

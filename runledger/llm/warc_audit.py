@@ -7,27 +7,68 @@ range, so no group grows with the archive."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import gzip
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 RANGE, FANOUT = 1 << 16, 16
 RECORDS_A_FILE = 500
 _HEAD = "WARC/1.0\r\n"
+_MAGIC, _LENGTH = _HEAD.encode(), re.compile(rb"\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*(?:\r\n|$)", re.I)
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["file", "offset", "length", "head", "body", "intact", "digest"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_(), pa.string()]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            data = content.as_py()
+            if data[:2] == b"\x1f\x8b":
+                data = gzip.decompress(data)
+            rows: list[tuple] = []
+            size, at = 0, data.find(_MAGIC)
+            while at >= 0:
+                begin = data.find(b"\r\n\r\n", at)
+                head = data[at : begin if begin >= 0 else len(data)]
+                length = _LENGTH.search(head)
+                if begin < 0 or length is None:  # a damaged head: go on at the next record
+                    begin, after = len(head) + at, data.find(_MAGIC, at + len(_MAGIC))
+                    after = stop = after if after >= 0 else len(data)
+                    intact = False
+                else:
+                    begin += 4
+                    stop = begin + int(length[1])
+                    after = min(stop + 4, len(data))
+                    intact = stop <= len(data)
+                body = data[begin : min(stop, len(data))]
+                rows.append((path, at, after - at, head.decode("utf-8", "replace"), body, intact, hashlib.sha256(data[at:after]).hexdigest()))
+                size += len(body)
+                if size > 4 << 20:
+                    yield packed(rows)
+                    rows, size = [], 0
+                at = data.find(_MAGIC, after)
+            if rows:
+                yield packed(rows)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """file, head, body, intact of the records of WARC files: split by Spark's text reader at record starts.
+    """file, offset, length, head, body, intact, digest of the records of WARC files, gzipped ones included.
 
-    intact is false where fewer bytes follow the head than its Content-Length says."""
-    raw = spark.read.option("lineSep", _HEAD).text(path).select(F.input_file_name().alias("file"), "value").where("value != ''")
-    at = F.instr("value", "\r\n\r\n")
-    head, rest = F.expr("substring(value, 1, instr(value, '\r\n\r\n') - 1)"), F.expr("substring(value, instr(value, '\r\n\r\n') + 4)")
-    length = F.regexp_extract(head, r"(?i)Content-Length:\s*(\d+)", 1).try_cast("bigint")
-    parts = raw.where(at > 0).select("file", head.alias("head"), rest.alias("rest"), length.alias("length"))
-    body = F.expr("substring(cast(rest as binary), 1, cast(length as int))")
-    return parts.select("file", "head", body.alias("body"), (F.octet_length("rest") >= F.col("length")).alias("intact"))
+    A record ends where its Content-Length says, whatever its body holds; what follows a damaged stretch is found at the
+    next record's first bytes. intact is false where a head names no length or the file ends early."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return files.mapInArrow(lean(_records), "file string, offset long, length long, head string, body binary, intact boolean, digest string")
 
 
 def record(url: Column, body: Column) -> Column:
@@ -37,12 +78,32 @@ def record(url: Column, body: Column) -> Column:
     return F.concat(*parts)
 
 
-def index_of(pages: DataFrame, files: int = RECORDS_A_FILE) -> DataFrame:
-    """file, offset, length, digest, page_id of archives that hold the pages in page_id order, some hundred a file."""
-    rows = pages.select(F.col("page_id").cast("bigint"), record(F.col("url"), F.col("html")).alias("r"), F.coalesce(F.floor(F.col("page_id") / files), F.lit(-1)).alias("file"))
-    rows = rows.select("page_id", "file", F.octet_length("r").cast("bigint").alias("length"), F.sha2(F.col("r").cast("binary"), 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("bigint"))
+def archive(pages: DataFrame, files: int = RECORDS_A_FILE) -> DataFrame:
+    """file, page_id, r: records of archives that hold the pages in page_id order, some hundred a file. Pages without an id
+    are spread over files of their own, below 0."""
+    spread = -1 - F.pmod(F.xxhash64(F.col("url"), F.col("html")), F.lit(4096))
+    file = F.coalesce(F.floor(F.col("page_id").cast("bigint") / files), spread).cast("bigint")
+    return pages.select(file.alias("file"), F.col("page_id").cast("bigint").alias("page_id"), record(F.col("url"), F.col("html")).alias("r"))
+
+
+def decayed(archives: DataFrame) -> DataFrame:
+    """A replica in which bytes have decayed, by page_id: one record in 97 has one wrong byte, one in 389 is blank."""
+    wrong = F.concat(F.substring("r", 1, 20), F.lit("?"), F.expr("substring(r, 22)"))
+    bytes_ = F.when(F.col("page_id") % 389 == 7, F.repeat(F.lit("\0"), F.octet_length("r"))).when(F.col("page_id") % 97 == 5, wrong).otherwise(F.col("r"))
+    return archives.withColumn("r", bytes_)
+
+
+def write_warc(archives: DataFrame, path: str) -> None:
+    """Writes a gzipped WARC file for each number in file, a record after the other by page_id."""
+    body = archives.select("file", "page_id", F.expr("substring(r, 1, length(r) - 4)").alias("r"))  # the writer ends each record
+    rows = body.repartition("file").sortWithinPartitions("file", "page_id", "r").select("file", "r")
+    rows.write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+
+def index_of(spark: SparkSession, path: str) -> DataFrame:
+    """file, offset, length, digest of the records of a written archive: of the bytes that are read back."""
+    number = F.regexp_extract("file", r"file=(-?\d+)", 1).cast("bigint")
+    return read_warc(spark, path).select(number.alias("file"), "offset", "length", "digest")
 
 
 def levels(records: DataFrame) -> list[DataFrame]:
@@ -90,12 +151,6 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("file", "offset", F.coalesce("length_a", "length_b").alias("length"), status.alias("status")).where("status is not null")
 
 
-def aged(index: DataFrame) -> DataFrame:
-    """A replica in which records have decayed, by page_id: one in 97 differs, one in 389 is gone."""
-    bad = F.sha2(F.concat(F.lit("decayed "), "digest").cast("binary"), 256)
-    return index.where("page_id % 389 != 7").withColumn("digest", F.when(F.col("page_id") % 97 == 5, bad).otherwise(F.col("digest")))
-
-
 SQL = r"""
 WITH r AS (
   SELECT page_id, page_id // 500 AS file,
