@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import html_extract, license_scan, line_dedup, warc_audit
 from .common import shared_dir, table
@@ -23,10 +24,9 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both replicas are written as WARC files, one of them decayed, and hashed as they are read back."""
-    archives, folders = warc_audit.archive(table(spark, sf_dir, "pages")), [f"{shared_dir(spark)}/{uuid.uuid4().hex}" for _ in "ab"]
-    for rows, folder in zip((archives, warc_audit.decayed(archives)), folders, strict=True):
-        warc_audit.write_warc(rows, folder)
-    return warc_audit.audit(*(warc_audit.index_of(spark, folder) for folder in folders))
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    warc_audit.write_warc(warc_audit.archive(table(spark, sf_dir, "pages")), folder, a=F.col("r"), b=warc_audit.decayed())
+    return warc_audit.audit(*(warc_audit.index_of(spark, f"{folder}/replica={name}") for name in "ab"))
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,18 +86,18 @@ def archive(pages: DataFrame, files: int = RECORDS_A_FILE) -> DataFrame:
     return pages.select(file.alias("file"), F.col("page_id").cast("bigint").alias("page_id"), record(F.col("url"), F.col("html")).alias("r"))
 
 
-def decayed(archives: DataFrame) -> DataFrame:
-    """A replica in which bytes have decayed, by page_id: one record in 97 has one wrong byte, one in 389 is blank."""
+def decayed() -> Column:
+    """Records of archive() in which bytes have decayed, by page_id: one in 97 has one wrong byte, one in 389 is blank."""
     wrong = F.concat(F.substring("r", 1, 20), F.lit("?"), F.expr("substring(r, 22)"))
-    bytes_ = F.when(F.col("page_id") % 389 == 7, F.repeat(F.lit("\0"), F.octet_length("r"))).when(F.col("page_id") % 97 == 5, wrong).otherwise(F.col("r"))
-    return archives.withColumn("r", bytes_)
+    return F.when(F.col("page_id") % 389 == 7, F.repeat(F.lit("\0"), F.octet_length("r"))).when(F.col("page_id") % 97 == 5, wrong).otherwise(F.col("r"))
 
 
-def write_warc(archives: DataFrame, path: str) -> None:
-    """Writes a gzipped WARC file for each number in file, a record after the other by page_id."""
-    body = archives.select("file", "page_id", F.expr("substring(r, 1, length(r) - 4)").alias("r"))  # the writer ends each record
-    rows = body.repartition("file").sortWithinPartitions("file", "page_id", "r").select("file", "r")
-    rows.write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def write_warc(archives: DataFrame, path: str, **replicas: Column) -> None:
+    """Writes a gzipped WARC file for each number in file, a record after the other by page_id, to replica=<name> under the
+    path for each replica, given by its records. Pages are shuffled once for all replicas."""
+    each = F.inline(F.array(*(F.struct(F.lit(name).alias("replica"), F.substring(r, F.lit(1), F.length(r) - 4).alias("body")) for name, r in replicas.items())))  # the writer ends each record
+    rows = archives.repartition("file").select("file", "page_id", "r", each).sortWithinPartitions("replica", "file", "page_id", "r")
+    rows.select("replica", "file", "body").write.partitionBy("replica", "file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def index_of(spark: SparkSession, path: str) -> DataFrame:

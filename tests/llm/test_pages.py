@@ -168,13 +168,12 @@ def test_warc_records_within_bodies_and_damage(spark, tmp_path):
     rows = [(k, f"http://a/{k}", html if k % 3 else "é" * k, "") for k in range(20)] + [(None, "http://n", None, ""), (3, "http://again", "x", "")]
     pages = spark.createDataFrame(rows, PAGE)
     archives = warc_audit.archive(pages, 8)
-    warc_audit.write_warc(archives, f"file://{tmp_path}/a")
-    warc_audit.write_warc(warc_audit.decayed(archives), f"file://{tmp_path}/b")
-    a, b = (warc_audit.index_of(spark, f"file://{tmp_path}/{x}") for x in "ab")
+    warc_audit.write_warc(archives, f"file://{tmp_path}/w", a=archives["r"], b=warc_audit.decayed())
+    a, b = (warc_audit.index_of(spark, f"file://{tmp_path}/w/replica={x}") for x in "ab")
     assert a.count() == len(rows)
     sizes = [(r.file, r.page_id, len(r.r.encode())) for r in archives.collect()]
     assert sorted((r.file, r.length) for r in a.collect()) == sorted((f, n) for f, _, n in sizes)
     assert sorted(r.status for r in warc_audit.audit(a, b).collect()) == ["corrupt", "missing"]
     assert warc_audit.audit(a, a).count() == 0
-    warc_audit.write_warc(archives.limit(0), f"file://{tmp_path}/c")
-    assert warc_audit.read_warc(spark, f"file://{tmp_path}/a").where("not intact").count() == 0
+    assert warc_audit.read_warc(spark, f"file://{tmp_path}/w/replica=a").where("not intact").count() == 0
+    warc_audit.write_warc(archives.limit(0), f"file://{tmp_path}/c", a=archives["r"])
