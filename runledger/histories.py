@@ -98,7 +98,7 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
         _event(only(open_ & (key % 3 == 0), s + 2), 21, scheduled_id=s + 1, worker=w1),
     ]
     # the first line of a run also carries what the run has once
-    events = F.concat(F.array(*of_line), F.when(k == 1, F.array(*of_run)).otherwise(F.slice(F.array(*of_run), 1, 0)))
+    events = F.when(k == 1, F.concat(F.array(*of_line), F.array(*of_run))).otherwise(F.array(*of_line))
     found = rows.select(F.concat(F.lit("run-"), key.cast("string")).alias("run_id"), "t0", F.explode(F.filter(events, lambda e: e["event_id"].isNotNull())).alias("e"))
     found = found.select("run_id", "e.*", (F.col("t0") + F.col("e.event_id") * second).alias("event_time"))
     return found.select(*COLUMNS)
