@@ -26,6 +26,8 @@ from .common import arrow_slices, cut, lean, text_buffer, with_ids
 BANDS, ROWS = 28, 6
 #: Bytes of text that a task looks at together, or one text.
 SLICE = 1 << 20
+#: Pairs of one document, or members of one bucket, that are dealt together.
+TILE = 1024
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 #: Fixed random values of the bytes, A-Z as a-z: the hashes must agree between tasks and runs.
@@ -161,9 +163,31 @@ def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return cut(wanted.mapInArrow(lean(lambda it: _sets(it, width)), "doc_id long, shingles array<long>"))
 
 
+def _tile(by: str, tiles: str) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(by), F.col(tiles)).cast("int"), F.lit(0))
+
+
+def _each(tiles: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.coalesce(tiles, F.lit(1)) - 1))
+
+
+def in_tiles(pairs: DataFrame, key: str) -> DataFrame:
+    """key, tiles: into how many tiles the pairs of a document are dealt, where they are more than TILE."""
+    many = pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    return cut(many.select(key, F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
+
+
+def beside(pairs: DataFrame, sets: DataFrame, key: str, other: str, tiles: DataFrame) -> DataFrame:
+    """pairs with the columns of sets (key and a set) beside them; the set of a hot document is sent once a tile of its pairs."""
+    dealt = with_ids(pairs, tiles, key, "left").withColumn("tile", _tile(other, "tiles")).drop("tiles")
+    sent = with_ids(sets, tiles, key, "left").select(*sets.columns, _each("tiles").alias("tile"))
+    return dealt.join(sent, [key, "tile"]).drop("tile")
+
+
 def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b) those with 100 * |intersection| >= percent * |union|, on the full sets."""
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    """Of the candidate pairs (a, b), a cut table, those with 100 * |intersection| >= percent * |union|, on the full sets."""
+    both = beside(pairs, sets.toDF("a", "set_a"), "a", "b", in_tiles(pairs, "a"))
+    both = beside(both, sets.toDF("b", "set_b"), "b", "a", in_tiles(pairs, "b"))
     # common * 100 >= percent * (|a| + |b| - common), with common written once
     alike = F.size(F.array_intersect("set_a", "set_b")) * (100 + percent) >= percent * (F.size("set_a") + F.size("set_b"))
     return both.where(alike).select("a", "b").distinct()
@@ -185,7 +209,7 @@ _BITS = "aggregate(filter(outside, s -> (s & 3) = {}), 0L, (w, s) -> w | shiftle
 def against_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (rep, pivot): inside and outside, how many of rep's shared shingles the pivot has and hasn't;
     bits of those outside, and spare, how many of them fell on a bit already set."""
-    both = pairs.join(shared_shingles(sets).toDF("rep", "shared"), "rep").join(sets.toDF("pivot", "pivot_set"), "pivot")
+    both = beside(pairs.join(shared_shingles(sets).toDF("rep", "shared"), "rep"), sets.toDF("pivot", "pivot_set"), "pivot", "rep", in_tiles(pairs, "pivot"))
     both = both.select("rep", "pivot", F.size("shared").alias("most"), F.array_except("shared", "pivot_set").alias("outside"))
     both = both.select("rep", "pivot", "most", F.size("outside").alias("outside"), *(F.expr(_BITS.format(i)).alias(f"bits{i}") for i in range(WORDS)))
     spare = F.col("outside") - sum((F.bit_count(f"bits{i}") for i in range(1, WORDS)), F.bit_count("bits0"))
@@ -250,12 +274,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, bands: i
         # Exact bounds on each intersection leave few pairs of a large group whose members are not linked: shingles that
         # no other of these documents has don't count, those of the pivot count once for both, and the bits of the rest
         # must agree.
-        bounds = cut(against_pivots(rest.select("rep", "pivot").distinct(), sets))
+        bounds = cut(against_pivots(cut(rest.select("rep", "pivot").distinct()), sets))
         rest = cut(rest.join(bounds, ["rep", "pivot"]).where(F.col("most") * 100 >= F.col("n") * percent))
-        left, right = rest.alias("l"), rest.where("component != major").alias("r")
+        # A bucket of many undecided members is a grid of tiles: a member stands in one row or column of it.
+        grid = rest.groupBy("key").agg(F.count("*").alias("all"), F.count_if("component != major").alias("others"))
+        grid = grid.select("key", *(F.ceil(F.greatest(c, F.lit(1)) / TILE).cast("int").alias(t) for c, t in (("all", "high"), ("others", "wide"))))
+        grid = cut(grid.where("high > 1 or wide > 1"))
+        rest = with_ids(rest, grid, "key", "left")
+        left = rest.select("*", _tile("rep", "high").alias("i"), _each("wide").alias("j")).alias("l")
+        right = rest.where("component != major").select("*", _tile("rep", "wide").alias("j"), _each("high").alias("i")).alias("r")
         n, m = F.col("l.n"), F.col("r.n")
         enough = most_common("l", "r") * (100 + percent) >= (n + m) * percent
-        pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & near(n, m) & enough)
+        same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "i", "j")]
+        pairs = left.join(right, same[0] & same[1] & same[2] & (F.col("l.component") != F.col("r.component")) & near(n, m) & enough)
         pairs = pairs.select(F.greatest("l.rep", "r.rep").alias("a"), F.least("l.rep", "r.rep").alias("b")).distinct()
         more = cut(verified(sets, cut(pairs), percent))
         if more.take(1):

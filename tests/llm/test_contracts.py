@@ -47,8 +47,10 @@ def test_near_dedup_edges(spark):
     assert sorted(i for i in ids if i is not None) == sorted(k for k, v in want.items() if v[2])
 
 
-def test_near_dedup_open_buckets(spark):
-    """Chains of edits within one group: pairs beyond the pivots must be found as well."""
+@pytest.mark.parametrize("tile", [near_dedup.TILE, 4])
+def test_near_dedup_open_buckets(spark, monkeypatch, tile):
+    """Chains of edits within one group: pairs beyond the pivots must be found as well, in tiles of any size."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
     rng = np.random.default_rng(3)
     words = [f"v{i}" for i in range(150)]
     rows = []
