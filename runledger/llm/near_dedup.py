@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, bands: i
         bounds = cut(against_pivots(cut(rest.select("rep", "pivot").distinct()), sets))
         rest = cut(rest.join(bounds, ["rep", "pivot"]).where(F.col("most") * 100 >= F.col("n") * percent))
         # A bucket of many undecided members is a grid of tiles: a member stands in one row or column of it.
-        grid = rest.groupBy("key").agg(F.count("*").alias("all"), F.count_if("component != major").alias("others"))
+        grid = rest.groupBy("key").agg(F.count("*").alias("all"), F.count_if(F.col("component") != F.col("major")).alias("others"))
         grid = grid.select("key", *(F.ceil(F.greatest(c, F.lit(1)) / TILE).cast("int").alias(t) for c, t in (("all", "high"), ("others", "wide"))))
         grid = cut(grid.where("high > 1 or wide > 1"))
         rest = with_ids(rest, grid, "key", "left")

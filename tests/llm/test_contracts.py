@@ -62,6 +62,18 @@ def test_near_dedup_open_buckets(spark, monkeypatch, tile):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute.near_duplicates(rows)
 
 
+@pytest.mark.parametrize("tile", [near_dedup.TILE, 4])
+def test_near_dedup_common_template(spark, monkeypatch, tile):
+    """Documents of one template that share buckets and are mostly not linked, with some pairs that are."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    template = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(template + [f"x{i // 2}_{k}" for k in range(22)] + [f"y{i}"])) for i in range(60)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute.near_duplicates(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+    assert 20 < sum(v[2] for v in want.values()) < 40
+
+
 def test_quality_statistics(spark, docs):
     df, rows = odd(spark)
     extra = [(100, "a b c a b c a b c\nx\nx\n \nx y <|> $"), (101, "a a a a a")]
