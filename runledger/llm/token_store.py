@@ -30,8 +30,9 @@ from .common import arrow_slices, lean, shared_dir, text_buffer
 BLOCK, PERCENTILE, SHARD = 128, 0.9, 1 << 18
 MAGIC = b"PFOR1\0\0\0"
 END = 0
-#: Bytes of text that are encoded together, or one text; bytes of chunks and ids that a worker remembers.
-SLICE, CACHE_BYTES = 4 << 20, 32 << 20
+#: Bytes of text that are encoded together, or one text; bytes of chunks and ids that a worker remembers; bytes of new
+#: chunks that the library gets at once, or one chunk: it takes many times as much memory.
+SLICE, CACHE_BYTES, LEARN = 4 << 20, 32 << 20, 1 << 18
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -180,6 +181,10 @@ class Encoder:
 
     def _learn(self, chunks: pa.Array) -> np.ndarray:
         """Adds new chunks to those known and returns their numbers."""
+        column = pa.RecordBatch.from_arrays([chunks.cast(pa.large_binary())], ["chunk"])
+        return np.concatenate([self._add(chunks.slice(low, high - low)) for low, high in arrow_slices(column, "chunk", LEARN)])
+
+    def _add(self, chunks: pa.Array) -> np.ndarray:
         data, offsets = text_buffer(chunks.cast(pa.large_binary()))
         low = int(offsets[0])
         data, offsets = data[low : int(offsets[-1])], offsets - low

@@ -175,6 +175,17 @@ def test_tokens_edges(spark, tmp_path):
             assert mine.tolist() == its.tolist()
 
 
+@pytest.mark.parametrize("learn", [1, 16, 4096])
+def test_tokens_of_chunks_learned_in_pieces(docs, monkeypatch, learn):
+    monkeypatch.setattr(token_store, "LEARN", learn)
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = pa.array([t or "" for _, t in docs[:40]] + ["", "x" * 5000, "one two\n\n three", "中文 字.中9"])
+    by_chunk, plain = token_store.Encoder(path), token_store.Encoder(path, by_chunk=False)
+    for _ in range(2):
+        for mine, its in zip(by_chunk(texts), plain(texts), strict=True):
+            assert mine.tolist() == its.tolist()
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
