@@ -23,18 +23,19 @@ def recorded(history: DataFrame) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("run_id", "task_id").orderBy("event_id")).cast("bigint"))
 
 
-def mismatches(history: DataFrame, commands: DataFrame) -> DataFrame:
-    """run_id, task_id, pos, event_id, reason of every place where commands and history differ.
-
-    One full outer join on the place in the batch: missing and extra commands, another type, and by type another activity
-    id or type, timer id or duration, marker name or id, or target of a cancel."""
+def _compared(history: DataFrame, commands: DataFrame) -> DataFrame:
+    """run_id, task_id, pos, event_id, starts, reason of every event of a command, every command, and every start of a run
+    (starts; without a task and a place, so that it meets no command)."""
+    kind = F.col("event_type")
+    place = F.sum((kind != 1).cast("bigint")).over(Window.partitionBy("run_id", "task_id").orderBy("event_id"))
+    rows = history.where(kind.isin(1, *COMMANDS)).withColumn("pos", F.when(kind != 1, place))
     key = ["run_id", "task_id", "pos"]
-    events = recorded(history).select(*key, "event_id", "event_type", F.struct("name", "kind", "timeout", "started_id", "scheduled_id").alias("e"))
+    events = rows.select(*key, "event_id", "event_type", F.struct("name", "kind", "timeout", "started_id", "scheduled_id").alias("e"))
     asked = commands.select(*key, "command_type", F.struct("name", "kind", "timeout", "started_id").alias("c"))
     differ = lambda c: ~F.col(f"e.{c}").eqNullSafe(F.col(f"c.{c}"))
-    kind = F.col("event_type")
     reason = (
-        F.when(F.col("command_type").isNull(), "missing command")
+        F.when(kind == 1, None)
+        .when(F.col("command_type").isNull(), "missing command")
         .when(kind.isNull(), "extra command")
         .when(F.col("command_type") != command_of(kind), "wrong type")
         .when((kind == 40) & differ("name"), "activity id")
@@ -46,18 +47,25 @@ def mismatches(history: DataFrame, commands: DataFrame) -> DataFrame:
         .when((kind == 62) & differ("started_id"), "timer cancel")
         .when((kind == 45) & ~F.col("e.scheduled_id").eqNullSafe(F.col("c.started_id")), "activity cancel")
     )
-    return events.join(asked, key, "full_outer").select(*key, "event_id", reason.alias("reason")).where("reason is not null")
+    return events.join(asked, key, "full_outer").select(*key, "event_id", F.coalesce(kind == 1, F.lit(False)).alias("starts"), reason.alias("reason"))
+
+
+def mismatches(history: DataFrame, commands: DataFrame) -> DataFrame:
+    """run_id, task_id, pos, event_id, reason of every place where commands and history differ.
+
+    One full outer join on the place in the batch: missing and extra commands, another type, and by type another activity
+    id or type, timer id or duration, marker name or id, or target of a cancel."""
+    return _compared(history.where("event_type <> 1"), commands).where("reason is not null").drop("starts")
 
 
 def replay_report(history: DataFrame, commands: DataFrame) -> DataFrame:
     """run_id, ok, mismatches, first_reason, cause of every run: a replay job's verdict.
 
     cause is that of a workflow task that would fail for it."""
-    runs = history.where("event_type = 1").select("run_id").distinct()
-    order = F.struct("task_id", "pos")
-    bad = mismatches(history, commands).groupBy("run_id").agg(F.count("*").alias("mismatches"), F.min_by("reason", order).alias("first_reason"))
-    out = runs.join(bad, "run_id", "left")
-    return out.select("run_id", F.col("mismatches").isNull().alias("ok"), F.coalesce("mismatches", F.lit(0)).alias("mismatches"), "first_reason", F.when(F.col("mismatches") > 0, "NON_DETERMINISM").alias("cause"))
+    found = _compared(history, commands).where("starts or reason is not null")
+    order = F.when(F.col("reason").isNotNull(), F.struct("task_id", "pos"))
+    out = found.groupBy("run_id").agg(F.count("reason").alias("mismatches"), F.min_by("reason", order).alias("first_reason"), F.max("starts").alias("starts")).where("starts")
+    return out.select("run_id", (F.col("mismatches") == 0).alias("ok"), "mismatches", "first_reason", F.when(F.col("mismatches") > 0, "NON_DETERMINISM").alias("cause"))
 
 
 def failure_cause(failure: Column) -> Column:
@@ -94,8 +102,7 @@ def owned_tasks(history: DataFrame, claims: DataFrame) -> DataFrame:
     """run_id, worker, verdict of each claim (run_id, worker) to the run's workflow task in flight."""
     from .state import run_state
 
-    held = history.where("event_type = 21").select("run_id", F.col("event_id").alias("task_event"), F.col("worker").alias("holder"))
-    now = run_state(history).join(held, ["run_id", "task_event"], "left").select("run_id", "status", "task", "holder")
+    now = run_state(history, holder=True).select("run_id", "status", "task", "holder")
     found = claims.join(now, "run_id", "left")
     other = (F.coalesce("worker", F.lit("")) != "") & (F.coalesce("holder", F.lit("")) != "") & (F.col("worker") != F.col("holder"))
     verdict = F.when(F.col("status").isNull(), "not found").when(F.col("status") != 0, "closed").when(F.col("task") != "started", "not in flight").when(other, "held by another").otherwise("owned")

@@ -4,7 +4,7 @@ The folds equal an event-by-event fold of histories without violations; hold dou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import cut
@@ -18,34 +18,56 @@ USER, ACTIVITY_RETRY, ACTIVITY_TIMEOUT, TASK_TIMEOUT, EXECUTION_TIMEOUT, WORKFLO
 _AT = "event_id"
 
 
-def _last(what: str | Column, *kinds: int) -> Column:
-    return F.max_by(what, F.when(F.col("event_type").isin(*kinds), F.col(_AT)))
-
-
-def _first(what: str | Column, *kinds: int) -> Column:
-    return F.min_by(what, F.when(F.col("event_type").isin(*kinds), F.col(_AT)))
+def _fold(history: DataFrame, holder: bool = False) -> DataFrame:
+    """What run_state needs of a run, and the worker that holds its newest started task, if asked for.
+
+    Two steps: the first aggregates numbers by run and text, in buffers of fixed size and so by hashing, where texts in
+    buffers would sort all events; the second picks the texts among the few rows that are left of a run."""
+    kind, at, time = F.col("event_type"), F.col(_AT), F.col("event_time")
+    id_of = lambda *kinds: F.when(kind.isin(*kinds), at)
+    said = F.when(kind.isin(7, 8), F.col("name")).when(kind == 3, F.col("failure"))
+    if holder:
+        said = said.when(kind == 21, F.col("worker"))
+    parts = history.groupBy("run_id", said.alias("said")).agg(
+        F.max(id_of(*STATUS_OF)).alias("ended"),
+        F.max_by(kind, id_of(*STATUS_OF)).alias("terminal"),
+        F.max(F.when(kind.isin(*STATUS_OF), time)).alias("closed_at"),
+        F.max(at).alias("last_event_id"),
+        F.max(time).alias("last_event_time"),
+        F.count_if(kind == 9).alias("signals"),
+        F.min(id_of(8)).alias("canceled"),
+        F.max(id_of(20, 21, 22, 23, 24)).alias("task_event"),
+        F.max_by(kind, id_of(20, 21, 22, 23, 24)).alias("task_type"),
+        F.min(id_of(1)).alias("begun"),
+        F.min_by(F.when(F.col("timeout") > 0, time + F.col("timeout")), id_of(1)).alias("run_deadline"),
+        F.max(id_of(3)).alias("failed"),
+        F.max(id_of(7)).alias("continued"),
+        *([F.max(id_of(21)).alias("held")] if holder else []),
+    )
+    return parts.groupBy("run_id").agg(
+        F.max_by("terminal", "ended").alias("terminal"),
+        F.max("closed_at").alias("closed_at"),
+        F.max("last_event_id").alias("last_event_id"),
+        F.max("last_event_time").alias("last_event_time"),
+        F.sum("signals").alias("signals"),
+        (F.count("canceled") > 0).alias("cancel_requested"),
+        F.min_by("said", "canceled").alias("cancel_reason"),
+        F.max_by("task_type", "task_event").alias("task_type"),
+        F.max("task_event").alias("task_event"),
+        F.min_by("run_deadline", "begun").alias("run_deadline"),
+        F.max_by("said", "failed").alias("failure"),
+        F.max_by("said", "continued").alias("next_run"),
+        *([F.max_by("said", "held").alias("holder")] if holder else []),
+    )
 
 
-def run_state(history: DataFrame) -> DataFrame:
+def run_state(history: DataFrame, holder: bool = False) -> DataFrame:
     """run_id, status, closed_at, last_event_id, last_event_time, signals, cancel_requested, cancel_reason (the first
-    one), task (none, scheduled or started), task_event, run_deadline, failure, next_run: one row a run."""
-    kind = F.col("event_type")
-    task = _last(kind, 20, 21, 22, 23, 24)
+    one), task (none, scheduled or started), task_event, run_deadline, failure, next_run: one row a run.
+
+    With holder also the worker of the newest started task."""
     status = F.create_map(*(F.lit(x) for kv in STATUS_OF.items() for x in kv))
-    made = history.groupBy("run_id").agg(
-        _last(kind, *STATUS_OF).alias("terminal"),
-        F.max(F.when(kind.isin(*STATUS_OF), F.col("event_time"))).alias("closed_at"),
-        F.max(_AT).alias("last_event_id"),
-        F.max("event_time").alias("last_event_time"),
-        F.count_if(kind == 9).alias("signals"),
-        (F.count_if(kind == 8) > 0).alias("cancel_requested"),
-        _first("name", 8).alias("cancel_reason"),
-        task.alias("task_type"),
-        F.max(F.when(kind.between(20, 24), F.col(_AT))).alias("task_event"),
-        _first(F.when(F.col("timeout") > 0, F.col("event_time") + F.col("timeout")), 1).alias("run_deadline"),
-        _last("failure", 3).alias("failure"),
-        _last("name", 7).alias("next_run"),
-    )
+    made = _fold(history, holder)
     closed = F.col("terminal").isNotNull()
     open_task = F.when(closed, "none").when(F.col("task_type") == 20, "scheduled").when(F.col("task_type") == 21, "started").otherwise("none")
     return made.select(
@@ -62,6 +84,7 @@ def run_state(history: DataFrame) -> DataFrame:
         F.when(~closed, F.col("run_deadline")).alias("run_deadline"),
         "failure",
         "next_run",
+        *(["holder"] if holder else []),
     )
 
 
@@ -113,22 +136,60 @@ def pending(items: DataFrame, history: DataFrame) -> DataFrame:
     return items.where("outcome = 'PENDING'").join(open_runs(history), "run_id", "left_semi")
 
 
+def _items(history: DataFrame, *more: tuple[Column, str], others: tuple[int, ...] = ()) -> DataFrame:
+    """Rows by run_id, what (40 an activity, 60 a timer, 20 a task, 1 the rest of the run) and event_id (of the schedule or
+    start): opened, fire_at, closed, ends (events that close the run) and the aggregates in more."""
+    kind = F.col("event_type")
+    act, timer, opens = kind.between(40, 46), kind.between(60, 62), kind.isin(40, 60)
+    rows = history.where(act | timer | kind.isin(*STATUS_OF, *others))
+    what = F.when(act, 40).when(timer, 60).when(kind.isin(20, 21), 20).otherwise(1)
+    item = F.when(opens | (kind == 20), F.col(_AT)).when(act | (kind == 21), F.col("scheduled_id")).when(timer, F.col("started_id"))
+    return rows.groupBy("run_id", what.alias("what"), item.alias(_AT)).agg(
+        F.max(F.when(opens, F.col("event_time"))).alias("opened"),
+        F.max(F.when((kind == 40) & (F.col("timeout") > 0), F.col("event_time") + F.col("timeout")).when(kind == 60, F.col("event_time") + F.coalesce("timeout", F.lit(0)))).alias("fire_at"),
+        F.count_if(kind.isin(42, 43, 44, 46, 61, 62)).alias("closed"),
+        F.count_if(kind.isin(*STATUS_OF)).alias("ends"),
+        *(c.alias(name) for c, name in more),
+    )
+
+
+def pending_work(history: DataFrame) -> DataFrame:
+    """run_id, event_id, what (activity or timer), name of all that is pending, in one pass: the same as pending() of
+    activities() and of timers()."""
+    name = F.max(F.when(F.col("event_type").isin(40, 60), F.col("name")))
+    waits = F.col("opened").isNotNull() & (F.col("closed") == 0)
+    found = _items(history, (name, "name")).where(waits | (F.col("ends") > 0))
+    found = found.withColumn("over", F.max("ends").over(Window.partitionBy("run_id")))
+    return found.where((F.col("over") == 0) & waits).select("run_id", _AT, F.when(F.col("what") == 40, "activity").otherwise("timer").alias("what"), "name")
+
+
 def desired_timers(history: DataFrame) -> DataFrame:
-    """run_id, event_id, kind, fire_at: all timers that the state of the runs asks for."""
-    runs, act, timer = run_state(history), pending(activities(history), history), pending(timers(history), history)
-    tasks = history.where("event_type in (20, 21)").select("run_id", F.col(_AT).alias("task_event"), "event_time")
-    waits = history.where("event_type = 20").select("run_id", F.col(_AT).alias("scheduled_id"), F.col("timeout").alias("allowed"))
-    held = runs.where("task = 'started'").join(tasks, ["run_id", "task_event"]).join(history.where("event_type = 21").select("run_id", F.col(_AT).alias("task_event"), "scheduled_id"), ["run_id", "task_event"]).join(waits, ["run_id", "scheduled_id"])
-    parts = [
-        runs.where("run_deadline is not null").select("run_id", F.lit(1).cast("bigint").alias(_AT), F.lit(EXECUTION_TIMEOUT).alias("kind"), F.col("run_deadline").alias("fire_at")),
-        held.where("allowed > 0").select("run_id", "task_event", F.lit(TASK_TIMEOUT), F.col("event_time") + F.col("allowed")),
-        timer.select("run_id", _AT, F.lit(USER), "fire_at"),
-        act.where("deadline is not null").select("run_id", _AT, F.lit(ACTIVITY_TIMEOUT), "deadline"),
+    """run_id, event_id, kind, fire_at: all timers that the state of the runs asks for, in one pass.
+
+    A task's timeout counts from its start, if that is the newest event of the run's tasks."""
+    kind, at, time = F.col("event_type"), F.col(_AT), F.col("event_time")
+    started = F.when(kind == 21, at)
+    more = [
+        (F.max(F.when(kind.between(20, 24), at)), "task_at"),
+        (F.max(started), "started"),
+        (F.max_by(time, started), "started_at"),
+        (F.max(F.when(kind == 20, F.col("timeout"))), "allowed"),
+        (F.min_by(F.when(F.col("timeout") > 0, time + F.col("timeout")), F.when(kind == 1, at)), "deadline"),
     ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.union(more)
-    return out
+    found = _items(history, *more, others=(1, 20, 21, 22, 23, 24))
+    waits = F.col("what").isin(40, 60) & F.col("fire_at").isNotNull() & (F.col("closed") == 0)
+    found = found.where(waits | ~F.col("what").isin(40, 60))
+    run = Window.partitionBy("run_id")
+    found = found.withColumn("over", F.max("ends").over(run)).withColumn("newest", F.max("task_at").over(run)).where("over = 0")
+    what = F.col("what")
+    held = (what == 20) & (F.col("started") == F.col("newest")) & (F.col("allowed") > 0)
+    made = found.select(
+        "run_id",
+        F.when(what == 1, 1).when(what == 20, F.col("started")).otherwise(at).cast("bigint").alias(_AT),
+        F.when(what == 1, EXECUTION_TIMEOUT).when(what == 20, TASK_TIMEOUT).when(what == 60, USER).otherwise(ACTIVITY_TIMEOUT).alias("kind"),
+        F.when(what == 1, F.col("deadline")).when(held, F.col("started_at") + F.col("allowed")).when(what.isin(40, 60), F.col("fire_at")).alias("fire_at"),
+    )
+    return made.where("fire_at is not null")
 
 
 def timer_changes(armed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -144,9 +205,13 @@ def chains(history: DataFrame, max_links: int = 1000) -> DataFrame:
     the last run of its chain.
 
     Links are doubled: after k rounds each run knows the run 2**k before it, so a chain of n takes log2(n) joins, and only
-    linked runs are joined."""
-    runs = history.where("event_type = 1").select("run_id").distinct()
-    links = history.where("event_type = 7 and name is not null").select(F.col("name").alias("run_id"), F.col("run_id").alias("up")).join(runs, "run_id", "left_semi")
+    linked runs are joined. Histories are read once, for their starts and links."""
+    link = F.col("event_type") == 7
+    base = history.where("event_type = 1 or event_type = 7 and name is not null")
+    base = cut(base.select("run_id", F.when(link, F.col("name")).alias("next"), link.alias("link")).distinct())
+    runs = base.where("not link").select("run_id")
+    links = base.where("link").select(F.col("next").alias("run_id"), F.col("run_id").alias("up")).join(runs, "run_id", "left_semi")
+    links = cut(links)
     known = links.withColumn("steps", F.lit(1).cast("bigint"))
     size = 1
     while size < max_links:
@@ -156,6 +221,7 @@ def chains(history: DataFrame, max_links: int = 1000) -> DataFrame:
         size *= 2
         if not known.join(links.select(F.col("run_id").alias("up")), "up", "left_semi").take(1):
             break
+    # a run without links is its own head and last
+    last = known.groupBy(F.col("up").alias("head")).agg(F.max_by("run_id", "steps").alias("last"))
     placed = runs.join(known, "run_id", "left").select("run_id", F.coalesce("steps", F.lit(0)).cast("bigint").alias("link"), F.coalesce("up", "run_id").alias("head"))
-    last = placed.groupBy("head").agg(F.max_by("run_id", "link").alias("last"))
-    return placed.join(last, "head").select("run_id", "link", "head", "last")
+    return placed.join(last, "head", "left").select("run_id", "link", "head", F.coalesce("last", "head").alias("last"))

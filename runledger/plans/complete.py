@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures, histories
 from ..functions import random, retry, text
 from ..operators import replay, state, validation
+from ..store import cut
 from ..streaming.timers import streamed_timers
 
 NOW = 850_000_000_000_000_000
@@ -43,9 +44,7 @@ def timer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _all(spark, sf_dir)
-    found = state.pending(state.activities(h), h).select("run_id", "event_id", F.lit("activity").alias("what"), "name")
-    return found.union(state.pending(state.timers(h), h).select("run_id", "event_id", F.lit("timer"), "name"))
+    return state.pending_work(_all(spark, sf_dir))
 
 
 def wanted_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def wanted_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconcile_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = state.desired_timers(_all(spark, sf_dir))
+    wanted = cut(state.desired_timers(_all(spark, sf_dir)))  # used three times
     number = F.substring("run_id", 5, 20).cast("bigint")
     armed = wanted.where(number % 5 != 0).withColumn("fire_at", F.when(number % 5 == 1, F.col("fire_at") + 1).otherwise(F.col("fire_at")))
     gone = wanted.where(number % 5 == 2).withColumn("event_id", F.col("event_id") + 1000)
@@ -77,8 +76,7 @@ def command_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def command_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _all(spark, sf_dir)
-    return validation.precheck(histories.commands(spark, sf_dir), state.pending(state.activities(h), h), state.pending(state.timers(h), h))
+    return validation.precheck(histories.commands(spark, sf_dir), state.pending_work(_all(spark, sf_dir)))
 
 
 def failed_task_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
