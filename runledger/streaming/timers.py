@@ -1,89 +1,80 @@
-"""Pending activities and timers of runs, kept by a stateful processor over a stream of history events.
+"""Pending activities and timers of runs, kept over a stream of history events.
 
-Events may come in any order and more than once: a run keeps the events it has seen by id, and what is pending follows
-from the set, not from the order. A close of the run clears all, an event of a closed run changes nothing."""
+Events may come in any order and more than once: a run keeps the sets of what was opened and of what was closed, and what
+is pending follows from the sets, not from the order. A close of the run clears all, an event of a closed run changes
+nothing. The state is that of a streaming aggregate, so rows never leave the JVM."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..store import cut, new_folder
+from ..store import new_folder
 
-STATE = "run_id string, seq bigint, event_id bigint, kind int, fire_at bigint"
 #: Events that open something, those that close it, those that close a run.
 OPENS, CLOSES, ENDS = (40, 60), (42, 43, 44, 46, 61, 62), (2, 3, 4, 5, 6, 7)
+#: Parts in which the feed is written, one after the other, and batches that read it.
+WAVES, BATCHES = 4, 2
+
+
+def pending_state(events: DataFrame) -> DataFrame:
+    """run_id, ended, opened (event_id, kind, fire_at), closed (event_ids): of a table or a stream, in any order of arrival.
+
+    A fire_at of 0 stands for an activity without a timeout, which wants no timer."""
+    kind = F.col("event_type")
+    fire_at = F.when((kind == 60) | (F.col("timeout") > 0), F.col("event_time") + F.col("timeout")).otherwise(0)
+    opened = F.struct("event_id", F.when(kind == 60, 0).otherwise(2).alias("kind"), fire_at.alias("fire_at"))
+    return events.where(kind.isin(*OPENS, *CLOSES, *ENDS)).groupBy("run_id").agg(
+        F.max(kind.isin(*ENDS)).alias("ended"),
+        F.collect_set(F.when(kind.isin(*OPENS), opened)).alias("opened"),
+        F.collect_set(F.when(kind.isin(*CLOSES), F.col("target"))).alias("closed"),
+    )
+
+
+def wanted(runs: DataFrame) -> DataFrame:
+    """run_id, event_id, kind, fire_at: the timers that open runs of pending_state want."""
+    rows = runs.where("not ended").withColumn("left", F.array_except(F.transform("opened", lambda o: o["event_id"]), "closed"))
+    waits = F.filter("opened", lambda o: (o["fire_at"] != 0) & F.array_contains("left", o["event_id"]))
+    return rows.where(F.size("left") > 0).select("run_id", F.inline(waits)).select("run_id", "event_id", "kind", "fire_at")
+
 
+def shuffled_feed(history: DataFrame, path: str, waves: int = WAVES) -> int:
+    """Writes a history as event files out of order, one event in nine twice; returns the number of files.
 
-class PendingTimers(StatefulProcessor):
-    """Emits, for each batch that changes a run, the timers that it then wants; event_id 0 stands for none."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.opened = handle.getMapState("opened", "event_id bigint", "kind int, fire_at bigint")
-        self.closed = handle.getMapState("closed", "event_id bigint", "by bigint")
-        self.run = handle.getValueState("run", "seq bigint, ended boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        seq, ended = self.run.get() if self.run.exists() else (0, False)
-        changed = False
-        for pdf in rows:
-            for e in pdf.assign(target=pdf["target"].fillna(0).astype("int64")).itertuples(index=False):
-                at, target = int(e.event_id), int(e.target)
-                if e.event_type in ENDS and not ended:
-                    ended = changed = True
-                elif e.event_type in OPENS and not self.opened.containsKey((at,)):
-                    kind = 0 if e.event_type == 60 else 2
-                    # an activity without a timeout wants no timer
-                    fire_at = e.event_time + e.timeout if kind == 0 or e.timeout > 0 else 0
-                    self.opened.updateValue((at,), (kind, int(fire_at)))
-                    changed = True
-                elif e.event_type in CLOSES and not self.closed.containsKey((target,)):
-                    self.closed.updateValue((target,), (at,))
-                    changed = True
-        if not changed:
-            return
-        seq += 1
-        self.run.update((seq, ended))
-        live: list[tuple] = []
-        if not ended:
-            live = [(key[0], seq, k[0], v[0], v[1]) for k, v in self.opened.iterator() if v[1] and not self.closed.containsKey((k[0],))]
-        yield pd.DataFrame(live or [(key[0], seq, 0, 0, 0)], columns=["run_id", "seq", "event_id", "kind", "fire_at"])
-
-    def close(self) -> None:
-        pass
-
-
-def shuffled_feed(history: DataFrame, path: str, files: int = 4) -> None:
-    """Writes a history as event files out of order, one event in nine twice."""
+    An event's wave follows from its hash. The waves are written one after the other by the tasks that derive the events,
+    so no event is shuffled."""
     rows = history.select("run_id", "event_id", "event_type", "event_time", F.coalesce("timeout", F.lit(0)).alias("timeout"), F.when(F.col("event_type") > 46, F.col("started_id")).otherwise(F.col("scheduled_id")).alias("target"))
-    again = rows.where(F.pmod(F.xxhash64("run_id", "event_id"), F.lit(9)) == 0)
-    spread = rows.withColumn("at", F.pmod(F.xxhash64("event_id", "run_id"), F.lit(files))).union(again.withColumn("at", F.lit(0).cast("bigint")))
-    spread.repartition(files, "at").drop("at").write.parquet(path)
+    again = F.pmod(F.xxhash64("run_id", "event_id"), F.lit(9)) == 0
+    wave = F.pmod(F.xxhash64("event_id", "run_id"), F.lit(waves))
+    spread = [rows.where((wave == w) | again if w == 0 else wave == w) for w in range(waves)]
+    spread[0] = spread[0].withColumn("times", F.when((wave == 0) & again, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).withColumn("times", F.explode("times")).drop("times")
+    feed = spread[0]
+    for more in spread[1:]:
+        feed = feed.union(more)
+    feed.write.parquet(path)
+    return len(history.sparkSession.read.parquet(path).inputFiles())
 
 
 def streamed_timers(spark: SparkSession, history: DataFrame) -> DataFrame:
     """run_id, event_id, kind, fire_at: the user timers (0) and activity timeouts (2) that open runs want in the end.
 
-    Each run's newest batch of rows wins, so a batch that is written twice after a failure changes nothing."""
+    Each run's newest state wins, so a batch that is written twice after a failure changes nothing."""
     source, out, state = (new_folder(spark) for _ in range(3))
-    shuffled_feed(history, source)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    files = shuffled_feed(history, source)
+    # RocksDB keeps state off the heap; its memory is held to a bound for all partitions of an executor
+    settings = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "rocksdb.boundedMemoryUsage": "true", "rocksdb.maxMemoryUsageMB": "500"}
+    settings = {f"spark.sql.streaming.stateStore.{k}": v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        events = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
-        stream = events.groupBy("run_id").transformWithStateInPandas(PendingTimers(), outputStructType=STATE, outputMode="Update", timeMode="None")
+        schema = spark.read.parquet(source).schema
+        events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // BATCHES))).parquet(source)
         write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        stream.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+        pending_state(events).writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    rows = cut(spark.read.schema(STATE).parquet(f"{out}/batch=*"))
-    newest = rows.groupBy("run_id").agg(F.max("seq").alias("seq"))
-    return rows.join(newest, ["run_id", "seq"]).where("event_id > 0").select("run_id", "event_id", "kind", "fire_at")
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    newest = rows.groupBy("run_id").agg(F.max_by(F.struct("ended", "opened", "closed"), "batch").alias("s"))
+    return wanted(newest.select("run_id", "s.*"))

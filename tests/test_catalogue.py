@@ -147,3 +147,54 @@ def test_chains_of_many_runs(spark):
     rows = [(f"r{i}", 1, 1, None) for i in range(40)] + [(f"r{i}", 2, 7, f"r{i + 1}") for i in range(36)] + [("r39", 2, 7, "gone")]
     out = {r.run_id: (r.link, r.head, r.last) for r in chains(spark.createDataFrame(rows, "run_id string, event_id long, event_type int, name string")).collect()}
     assert out == {f"r{i}": (i, "r0", "r36") for i in range(37)} | {f"r{i}": (0, f"r{i}", f"r{i}") for i in (37, 38, 39)}
+
+
+@pytest.mark.parametrize("name", ["fold_state", "activity_table", "pending_work", "wanted_timers", "validate_rules", "validate_first", "event_lines", "stream_feed"])
+def test_events_are_not_shuffled(spark, sf_dir, name):
+    from runledger import histories
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = histories.histories(spark, sf_dir) if name == "stream_feed" else entry.queries()[name](spark, sf_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 2 and plan.count("FileScan") == 2  # lines and orders, once each
+
+
+def test_references_to_older_and_doubled_events(spark):
+    from runledger.operators.validation import violations
+
+    cols = "run_id string, event_id long, event_type int, event_time long, scheduled_id long, started_id long, task_id long, name string, kind string, timeout long, failure string, has_attrs boolean"
+    event = lambda i, t, s=None, b=None, w=None, n=None: (i, t, 100 + i, s, b, w, n, "q", 1, None, True)
+    base = [event(1, 1, n="t"), event(2, 20), event(3, 21, 2), event(4, 22, 2, 3), event(5, 40, w=4, n="a"), event(6, 60, w=4, n="t"), event(7, 40, w=4, n="b"), event(8, 60, w=4, n="u")]
+    runs = {
+        "gap": [event(9, 41, 5), event(10, 42, 5, 9), event(11, 61, b=6)],  # an activity and a timer that are not the newest
+        "other": [event(9, 41, 6), event(10, 42, 5, 9), event(11, 61, b=8)],  # 6 lies among the activities but is a timer
+        "later": [event(9, 41, 12), event(10, 42, 5, 9), event(11, 61, b=6), event(12, 40, w=4, n="c")],
+        "twice": [event(8, 40, w=4, n="d"), event(9, 41, 8), event(10, 61, b=8)],  # id 8 is a timer and an activity
+    }
+    rows = [(r, *e) for r, more in runs.items() for e in base + more]
+    found = violations(spark.createDataFrame(rows, cols)).where("rule in ('V11', 'V12', 'V13', 'V14')").collect()
+    assert sorted(tuple(r) for r in found) == [("later", 9, "V13"), ("other", 9, "V13")]
+
+
+def test_durations_are_rounded_half_up(spark):
+    from pyspark.sql import functions as F
+
+    from runledger.functions.text import compact_duration
+
+    want = {0: "0ms", 999_999_999: "999ms", 1_049_999_999: "1.0s", 1_050_000_000: "1.1s", 59_950_000_000: "60.0s", 60_000_000_000: "1m00s", 3_599_000_000_000: "59m59s", 3_660_000_000_000: "1h01m", 90_000_000_000_000: "1d01h", -2_250_000_000: "2.3s", 9_000_000_000_000_000: "104d04h"}
+    rows = spark.createDataFrame([(d,) for d in want], "d long").select("d", compact_duration(F.col("d")).alias("t"))
+    assert {r.d: r.t for r in rows.collect()} == want
+    assert "format_string" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_report_of_runs_without_commands(spark):
+    from runledger.operators.replay import replay_report
+
+    h = spark.createDataFrame([("a", 1, 1, None, "x"), ("a", 2, 40, 1, "a1"), ("b", 1, 1, None, "x"), ("c", 1, 40, 1, "a1")], "run_id string, event_id long, event_type int, task_id long, name string")
+    h = h.selectExpr("*", "'k' AS kind", "0L AS timeout", "0L AS started_id", "0L AS scheduled_id")
+    c = spark.createDataFrame([("a", 1, 1, 1, "a2", "k", 0, 0), ("d", 1, 1, 1, "a2", "k", 0, 0)], "run_id string, task_id long, pos long, command_type int, name string, kind string, timeout long, started_id long")
+    assert sorted(tuple(r) for r in replay_report(h, c).collect()) == [("a", False, 1, "activity id", "NON_DETERMINISM"), ("b", True, 0, None, None)]
