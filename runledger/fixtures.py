@@ -58,8 +58,14 @@ def timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows by key in spark.sql.shuffle.partitions parts. A number that is asked for stays, where parts that a join makes
+    are merged up to 64 MB as shuffled, and a task then holds many times that."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
+    line, orders = dealt(_read(spark, sf_dir, "lineitem"), "l_orderkey"), _read(spark, sf_dir, "orders")
     rows = line.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(
         F.col("l_orderkey").alias("run_id"),

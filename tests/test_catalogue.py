@@ -198,3 +198,17 @@ def test_report_of_runs_without_commands(spark):
     h = h.selectExpr("*", "'k' AS kind", "0L AS timeout", "0L AS started_id", "0L AS scheduled_id")
     c = spark.createDataFrame([("a", 1, 1, 1, "a2", "k", 0, 0), ("d", 1, 1, 1, "a2", "k", 0, 0)], "run_id string, task_id long, pos long, command_type int, name string, kind string, timeout long, started_id long")
     assert sorted(tuple(r) for r in replay_report(h, c).collect()) == [("a", False, 1, "activity id", "NON_DETERMINISM"), ("b", True, 0, None, None)]
+
+
+@pytest.mark.parametrize("name", ["activities", "full"])
+def test_parts_of_lines_are_not_merged(spark, sf_dir, name):
+    from runledger import fixtures, histories
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "29")
+    try:
+        df = (fixtures.activities if name == "activities" else histories.histories)(spark, sf_dir)
+        used = {r[0] for r in df.selectExpr("spark_partition_id()").distinct().collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(used) == 29
